@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: States and shortcuts kept by one worker; the tables are emptied when full, results do not depend on it.
 MAX_STATES = 400_000
@@ -206,7 +207,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, text: str = "text", kee
             n = pa.array([len(encode(t)) for t in b.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], n], names=[*keep, "n_tokens"])
 
-    schema = kept.select(*keep).schema.add("n_tokens", "long")
+    schema = T.StructType([*kept.select(*keep).schema.fields, T.StructField("n_tokens", T.LongType())])
     return kept.mapInArrow(run, schema)
 
 
