@@ -60,7 +60,7 @@ def plan_mixture(sized: DataFrame, targets: DataFrame, budget: float | None = No
 
 
 def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 17) -> DataFrame:
-    """sized plus ``copies`` of each document in the mixture, documents with no copy left out.
+    """doc_id, source, n_tokens and ``copies`` of each document in the mixture, documents with no copy left out.
 
     The fraction of a source is cut exactly: hash buckets with their tokens find the bucket in which the
     fraction ends, and only that bucket's documents are ordered.
@@ -70,7 +70,7 @@ def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed:
     rows = [(p["source"], int(p["repeats"]), (p["repeats"] - int(p["repeats"])) * p["corpus_tokens"]) for p in plan]
     dim = spark.createDataFrame(rows or [(None, 0, 0.0)], "source string, whole int, extra double")
     h = F.xxhash64(F.lit(seed), "source", "doc_id")
-    d = sized.withColumn("bucket", F.pmod(h, F.lit(BUCKETS)).cast("int")).withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id"))
+    d = sized.select("doc_id", "source", "n_tokens").withColumn("bucket", F.pmod(h, F.lit(BUCKETS)).cast("int")).withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id"))
     sums = d.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))  # at most MAX_SOURCES x BUCKETS rows
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0)))
@@ -85,7 +85,7 @@ def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed:
     run = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     cut = cut.withColumn("plus", (F.col("before") + run - F.col("n_tokens") / 2 <= F.col("ex")).cast("int"))
     both = rest.unionByName(cut).withColumn("copies", F.col("whole") + F.col("plus"))
-    return both.filter("copies > 0").select(*sized.columns, "copies")
+    return both.filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 
 def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame, budget: float | None = None) -> DataFrame:

@@ -159,6 +159,7 @@ def analyse(text: str | None, known: set[str]) -> dict[str, float]:
     out["odd_word_share"] = sum(1 for t in tokens if _ODD.search(t)) / max(1, len(tokens))
     out["cjk_share"] = cjk / total
     out["n_distinct"] = float(len(set(low)))
+    out["distinct_lines"] = len(set(lines)) / len(lines)
     out["n_entries"] = float(sum(entry))
     return out
 
@@ -180,6 +181,7 @@ def judge(s: dict[str, float]) -> tuple[str | None, list[str]]:
     strange = not cjk and s["n_words"] >= 8 and s["common_share"] < 0.1 and s["odd_word_share"] > 0.08
     gibberish = ("no_common_words" in failed or strange) and structured < MOST
     babble = s["n_words"] >= 8 and s["distinct_word_share"] <= 0.25 and s.get("n_distinct", 0) <= 25 and s["repeat_share"] > 0.9 and s["row_share"] < MOST
+    babble = babble and not (s["bullet_share"] > 0.8 and s["distinct_lines"] > 0.6)
     if s["noise_share"] > MOST or (s["broken_share"] > 0.25) or gibberish or babble or ("few_letters" in failed and structured < 0.3 and not cjk) or ("word_length" in failed and not cjk and s["row_share"] < MOST):
         return "junk", failed
     if s["row_share"] > MOST:
