@@ -102,14 +102,16 @@ def _em(min_iter: int = 200, declared_weight: float = 0.9999, prior_rows: float
 
 
 def normalise_timestamps(df: DataFrame, value: str, source: str, profiles: DataFrame, min_posterior: float = 0.9) -> DataFrame:
-    """Add ``outcome`` (text), ``instant_us`` (bigint), ``interpretation`` and ``posterior`` for column ``value``.
+    """Add (or replace) ``outcome`` (text), ``instant_us`` (bigint), ``interpretation`` and ``posterior`` for column ``value``.
 
     ``profiles`` has datasource, zone_name, day_first. Sources not in it share one undeclared mixture,
     so the fitted table has at most (declared sources + 1) x masks rows.
     """
     prof = profiles.select(F.lower(strip("datasource")).alias("__src"), F.col("zone_name").alias("__zone"), F.col("day_first").alias("day_first"), F.lit(True).alias("__known")).dropDuplicates(["__src"])
-    d = dim_join(df.withColumn("__src", F.coalesce(F.lower(strip(source)), F.lit(""))), prof, ["__src"]).withColumn("__src", F.when(F.col("__known"), F.col("__src")).otherwise(""))
-    d = d.withColumn("__v", F.when(holds(value), strip(value)))
+    # the caller's columns travel as one struct, so none of their names can clash with those used here
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(value).alias("__value"), F.coalesce(F.lower(strip(source)), F.lit("")).alias("__src"))
+    d = dim_join(packed, prof, ["__src"]).withColumn("__src", F.when(F.col("__known"), F.col("__src")).otherwise(""))
+    d = d.withColumn("__v", F.when(holds("__value"), strip("__value")))
     short = F.when(F.length("__v") <= 80, F.col("__v"))
     d = d.withColumn("__p", F.coalesce(*[F.when(short.rlike(p), F.split(F.regexp_replace(short, p, r), r"\|")) for _, p, r in FAMILIES]))
     p = lambda i: F.col("__p")[i]
@@ -179,7 +181,8 @@ def normalise_timestamps(df: DataFrame, value: str, source: str, profiles: DataF
         "outcome": F.coalesce(F.col("__reason"), iso_millis(F.col("instant_us"))),
         "interpretation": F.coalesce(*[F.when(order(k), F.lit(k)) for k in INTERPRETATIONS]),
     }
-    return d.withColumns(out).select(*df.columns, "outcome", "instant_us", "interpretation", "posterior")
+    results = ["outcome", "instant_us", "interpretation", "posterior"]
+    return d.withColumns(out).select(*[F.col("__row").getField(c).alias(c) for c in df.columns if c.lower() not in results], *results)
 
 
 def is_canonical(c: Column | str) -> Column:

@@ -57,7 +57,8 @@ def entries(v: object, known: set[str]) -> list[object] | None:
             flat.extend(entries(x, known) or []) if isinstance(x, list) else flat.append(x)
         return flat
     if isinstance(v, dict):
-        keyed = not (known & v.keys()) and all(x is None or isinstance(x, dict) for x in v.values())
+        positional = bool(v) and all(k.isdigit() for k in v)
+        keyed = all(x is None or isinstance(x, dict) for x in v.values()) and (positional or (bool(known) and not (known & v.keys())))
         return list(v.values()) if keyed else [v]
     return None
 

@@ -76,3 +76,21 @@ def p7_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p3_found, p3_contacts, p3_versions, p4_found, p6_found, p6_documents, p6_profiles, p7_found, p7_files, p7_rows)}
+
+_NOTHING = "('', 'null', 'n/a')"
+_NUMBER = "CASE WHEN regexp_full_match(val, '[+-]?{m}(?:[0-9]+|[0-9]{{1,3}}(?:,[0-9]{{3}})+)(?:\\.{f})?') THEN CAST(CAST(regexp_replace(val, '[+$, ]', '', 'g') AS DECIMAL(30,8)) AS VARCHAR) END"
+_CELLS = f"""WITH names AS (SELECT DISTINCT attr_name, value_type, regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS k
+FROM (SELECT attr_name, value_type, unnest(list_append(aliases, attr_name)) AS n FROM attribute_types)),
+v AS (SELECT a.row_id, n.attr_name, n.value_type, regexp_replace(attr_value, '^\\s+|\\s+$', '', 'g') AS val FROM unified_attributes a
+JOIN names n ON regexp_replace(lower(a.attr_key), '[^a-z0-9]', '', 'g') = n.k WHERE a.row_id IS NOT NULL AND lower(regexp_replace(attr_value, '^\\s+|\\s+$', '', 'g')) NOT IN {_NOTHING}),
+c AS (SELECT row_id, attr_name, CASE value_type WHEN 'integer' THEN {_NUMBER.format(m="", f="0+")} WHEN 'decimal' THEN {_NUMBER.format(m="(?:[$] ?)?", f="[0-9]+")}
+WHEN 'boolean' THEN CASE WHEN lower(val) IN ('true', 't', 'yes', 'y', '1', 'on') THEN 'true' WHEN lower(val) IN ('false', 'f', 'no', 'n', '0', 'off') THEN 'false' END
+WHEN 'date' THEN CAST(CAST(try_strptime(val, ['%Y-%m-%d', '%Y/%m/%d', '%Y%m%d', '%Y-%m-%dT00:00:00Z', '%d %b %Y', '%b %d, %Y']) AS DATE) AS VARCHAR) ELSE lower(val) END AS canon FROM v),
+cells AS (SELECT row_id, attr_name, count(*) > count(canon) AS unreadable, count(DISTINCT canon) > 1 AS conflict FROM c GROUP BY row_id, attr_name)
+"""
+ORACLES = {
+    "p1_found": _CELLS + "SELECT row_id, attr_name, 'unreadable' AS issue FROM cells WHERE unreadable UNION ALL SELECT row_id, attr_name, 'conflict' FROM cells WHERE conflict",
+    "p6_profiles": """SELECT row_id, person.id AS person_id, person.profile.first_name AS person_profile_first_name, person.profile.last_name AS person_profile_last_name, person.profile.email AS person_profile_email,
+person.contact.mobile AS person_contact_mobile, person.contact.postcode AS person_contact_postcode, person.preferences.channel AS person_preferences_channel, person.preferences.segment AS person_preferences_segment,
+person.loyalty.tier AS person_loyalty_tier, person.loyalty.points AS person_loyalty_points, metadata.source AS metadata_source, metadata.created_at AS metadata_created_at, metadata.updated_at AS metadata_updated_at, metadata.import_batch AS metadata_import_batch FROM profiles""",
+}
