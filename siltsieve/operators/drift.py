@@ -2,8 +2,8 @@
 
 Method: each file has a versioned schema fingerprint (paths, JSON types). Consecutive versions of a feed
 are compared; a removed and an added path are one rename if linked members keep their values. Members are
-linked by the pair of key-like paths (filled and distinct in the file) that shares most values, so no id
-name is assumed. The changes are migration steps: chaining renames back to a feed's first version gives
+linked by the key-like paths (mostly distinct in the file) whose values they share: each shared value is a
+vote for a pair of rows, weighted by the path's distinctness, so no id name is assumed. The changes are migration steps: chaining renames back to a feed's first version gives
 each path its stable name, to which known mappings, defaults and casts are applied.
 
 Defined edge cases: files without rows are no versions; an unparsable or non-object payload has no fields;
@@ -104,19 +104,22 @@ class Drift:
         old = self.fields.select(F.col("file_id").alias("prev_id"), "path", F.col("json_type").alias("t0")).join(pairs, "prev_id").select("file_id", "prev_id", "path", "t0")
         both = cur.withColumn("in1", F.lit(True)).join(old.withColumn("in0", F.lit(True)), ["file_id", "prev_id", "path"], "full")
         diff = cut(both.select("file_id", "prev_id", "path", F.when(F.col("in0").isNull(), "added").when(F.col("in1").isNull(), "removed").when(F.col("t0") != F.col("t1"), "retyped").alias("change")).filter("change is not null"))
-        # members of both files: the key pair that shares most values
+        # members of both files share values of key-like paths
         distinct = self.cells.filter("json_type not in ('null', 'array')").groupBy("file_id", "path").agg(F.count_distinct("cmp").alias("values"))
         lines = self.cells.groupBy("file_id").agg(F.count_distinct("row_id").alias("lines"))
-        keyish = self.fields.filter("holes = 0").join(distinct, ["file_id", "path"]).join(lines, "file_id").filter((F.col("filled") == F.col("lines")) & (F.col("values") >= 0.5 * F.col("lines")))
-        keys = self.cells.join(keyish.select("file_id", "path"), ["file_id", "path"]).select("file_id", "path", "cmp", "row_id")
+        held = F.col("filled") - F.col("holes")
+        keyish = self.fields.join(distinct, ["file_id", "path"]).join(lines, "file_id").filter((held >= 0.3 * F.col("lines")) & (F.col("values") >= 0.5 * held)).select("file_id", "path", (F.col("values") / held).alias("w"))
+        keys = self.cells.join(keyish, ["file_id", "path"]).filter("json_type not in ('null', 'array')").select("file_id", "path", "cmp", "row_id", "w")
         # only files that lost and gained a path need links
         todo = diff.groupBy("file_id", "prev_id").agg(F.max(F.col("change") == "added").alias("a"), F.max(F.col("change") == "removed").alias("r")).filter("a and r").select("file_id", "prev_id")
-        now = keys.groupBy("file_id", "path", "cmp").agg(F.min("row_id").alias("row1")).join(todo, "file_id").withColumnRenamed("path", "k1")
+        now = keys.groupBy("file_id", "path", "cmp").agg(F.min("row_id").alias("row1"), F.max("w").alias("w")).join(todo, "file_id").withColumnRenamed("path", "k1")
         before = keys.groupBy("file_id", "path", "cmp").agg(F.min("row_id").alias("row0")).select(F.col("file_id").alias("prev_id"), F.col("path").alias("k0"), "cmp", "row0")
         met = cut(now.join(before, ["prev_id", "cmp"]))
-        shared = met.groupBy("file_id", "k0", "k1").agg(F.count("*").alias("n"))
-        top = shared.groupBy("file_id").agg(F.max_by(F.struct("k0", "k1"), F.struct("n", (F.col("k0") == F.col("k1")).cast("int"), "k1", "k0")).alias("k")).select("file_id", "k.k0", "k.k1")
-        links = met.join(top, ["file_id", "k0", "k1"]).select("file_id", "prev_id", "row0", "row1")
+        # the same member shares most key values, two members of one name share few: pairs are elected by votes
+        votes = met.groupBy("file_id", "prev_id", "row0", "row1").agg(F.sum("w").alias("v"))
+        most = votes.groupBy("file_id").agg(F.max("v").alias("most"))
+        elected = Window.partitionBy("file_id", "row1").orderBy(F.desc("v"), "row0")
+        links = votes.join(most, "file_id").filter(F.col("v") * 2 >= F.col("most")).withColumn("r", F.row_number().over(elected)).filter("r = 1").select("file_id", "prev_id", "row0", "row1")
         gone = diff.filter("change = 'removed'").select("file_id", "prev_id", F.col("path").alias("p0"))
         new = diff.filter("change = 'added'").select("file_id", F.col("path").alias("p1"))
         was = self.cells.filter("value is not null").select(F.col("file_id").alias("prev_id"), F.col("row_id").alias("row0"), F.col("path").alias("p0"), F.col("cmp").alias("v0")).join(gone, ["prev_id", "p0"])
