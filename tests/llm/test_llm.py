@@ -18,7 +18,7 @@ def ranks():
         return tokenizer.load_ranks(f.read())
 
 
-def test_transducer_equals_the_reference_encoder():
+def test_transducer_equals_the_public_encoder():
     tiktoken = pytest.importorskip("tiktoken")
     r = ranks()
     ref = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=r, special_tokens={})
@@ -232,6 +232,11 @@ def test_large_blocks_lose_nothing(spark, monkeypatch):
     split = pairs()
     firsts = {(f"club{i}", f"event{j}") for i in range(40) for j in range(40) if i % 20 == j % 20}
     assert firsts <= {(a, b) for _, a, _, b in split} and split <= whole
+    rng = random.Random(6)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in "ab")
+        if matching.name_similarity(a, b) >= 0.7:
+            assert {*a[:2]} & {*b[:2]} or {*a[-2:]} & {*b[-2:]}, (a, b)
 
 
 def test_similarities():
