@@ -76,6 +76,11 @@ def main(argv: list[str] | None = None, spark: object | None = None) -> int:
         if adv.schema.enabled:
             s = X.schema_report(spark, a.path, adv.schema.sample_percent, adv.schema.max_samples, adv.schema.max_depth, adv.schema.group_by_folder, a.xml_record_path, adv.schema.seed)
             out["schemaReport"] = [r.asDict() for r in s.orderBy("path").limit(100_000).collect()]
+        if adv.targets or adv.schema.enabled:
+            X.write_artifacts(out, a.log_path, out.get("schemaReport"), tuple(adv.schema.output_formats))
+        if any(r.output_path for r in adv.rules):
+            guard(*[r.output_path for r in adv.rules])
+            X.write_rule_outputs(spark, a.path, job, a.xml_record_path)
         text = json.dumps(out, indent=2, ensure_ascii=False, default=str) if a.output == "json" else render(out, a.show_folders)
         print(text)
         if a.output_json:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siltsieve import report as reporting
 from siltsieve.functions import jsontext as J
 from siltsieve.operators import ingest, profile, purge
+from siltsieve.operators import rules as R
 from siltsieve.operators.rewrite import Rewrite, apply_to, counters, rewrite_lines
 from siltsieve.sinks import writers as W
 from siltsieve.sources import xmlio
@@ -32,6 +33,51 @@ def schema_report(spark: SparkSession, paths: str, fraction: float = 0.1, max_sa
     return profile.profile_json(profile.sampled(rows, fraction, seed, max_samples), "data", ["folder"] if by_folder else [], max_depth)
 
 
+SCHEMA_COLUMNS = ["path", "type", "occurrences", "percentage", "nullable", "unique_values", "min_length", "max_length", "example"]
+
+
+def write_rule_outputs(spark: SparkSession, paths: str, job: reporting.Analysis, xml_path: str = "") -> dict[str, str]:
+    """The derived artefact of each rule that names an output, as a folder of JSON lines; rule -> folder."""
+    wanted = [r for r in job.rules if r.output_path]
+    if not wanted:
+        return {}
+    applied = R.apply_rules(read_records(spark, paths, xml_path=xml_path).filter("data is not null"), job.targets, job.rules, "data")
+    for r in wanted:
+        W.write_table(R.rule_output(applied, r.search_target, r.action), r.output_path, "jsonl")
+    return {r.search_target: r.output_path for r in wanted}
+
+
+def write_artifacts(report: dict, folder: str, schema: list[dict] | None = None, formats: tuple[str, ...] = ("json",)) -> list[str]:
+    """Search results (whole, per target and as CSV), deletion statistics and the schema report as files."""
+    out: list[str] = []
+
+    def put(name: str, write) -> None:
+        path = W.contained(folder, name)
+        write(path)
+        out.append(path)
+
+    if (s := report.get("searchResults")) is not None:
+        put("search_results.json", lambda p: W.write_json(s, p))
+        for t, found in s["results"].items():
+            safe = "".join(c if c.isalnum() or c in "-_" else "_" for c in t)
+            put(f"search_target_{safe}.json", lambda p, found=found: W.write_json(found, p))
+        rows = [(t, m["Path"], m["MatchedValue"], m["Location"]["filePath"], m["Location"]["lineNumber"]) for t in sorted(s["results"]) for m in s["results"][t]]
+        put("search_results.csv", lambda p: W.write_rows_csv(["target", "path", "matched_value", "file_path", "line_number"], rows, p))
+    if (d := report.get("deletionStats")) is not None:
+        put("deletion_stats.json", lambda p: W.write_json(d, p))
+        put("deletion_summary.txt", lambda p: W.write_text("".join(f"{k}: {v}\n" for k, v in d.items()), p))
+    if schema is not None:
+        scope = lambda r: r.get("folder") or "global"
+        ordered = sorted(schema, key=lambda r: (scope(r), r["path"]))
+        if "json" in formats:
+            put("schema_report.json", lambda p: W.write_json(ordered, p))
+        if "csv" in formats:
+            put("schema_report.csv", lambda p: W.write_rows_csv(["scope", *SCHEMA_COLUMNS], [[scope(r), *[r.get(c) for c in SCHEMA_COLUMNS]] for r in ordered], p))
+        if "yaml" in formats:
+            put("schema_report.yaml", lambda p: W.write_text(W.to_yaml(ordered), p))
+    return out
+
+
 def run_ingest(spark: SparkSession, paths: str, mappings: list[ingest.Mapping], output: str, stats_output: str = "", require_mappings: bool = False) -> dict:
     """Every file by its first fitting mapping into one output; files without mapping are skipped or refused."""
     sources = discover(paths, spark=spark)

@@ -161,3 +161,24 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert main(["rewrite", "--path", str(folder / "c.jsonl"), "--top-level-key", "id", "--top-level-vals", "4"], spark) == 0
     assert '"lines_deleted": 2' in capsys.readouterr().out
     assert main(["nonsense"], spark) == 2
+
+
+def test_artifacts(spark, folder, tmp_path, capsys):
+    conf = {"advanced": {
+        "searchTargets": [{"name": "four", "type": "direct", "path": "id", "targetValues": ["4"]}],
+        "deletionRules": [{"searchTarget": "four", "action": "mark_for_deletion", "outputPath": str(tmp_path / "marked")}],
+        "schemaDiscovery": {"enabled": True, "samplePercent": 1, "outputFormats": ["json", "csv", "yaml"]},
+    }}
+    put(tmp_path / "conf.json", json.dumps(conf))
+    logs = tmp_path / "logs"
+    assert main(["--path", str(folder / "c.jsonl"), "--config", str(tmp_path / "conf.json"), "--log-path", str(logs)], spark) == 0
+    assert "Search matches: 2" in capsys.readouterr().out
+    names = {p.name for p in logs.iterdir()}
+    assert names == {"search_results.json", "search_target_four.json", "search_results.csv", "deletion_stats.json", "deletion_summary.txt", "schema_report.json", "schema_report.csv", "schema_report.yaml"}
+    assert (logs / "search_results.csv").read_text().splitlines()[1].startswith("four,id,4,")
+    assert [r["path"] for r in json.loads((logs / "schema_report.json").read_text())] == ["id", "n"]
+    marked = [json.loads(x) for f in (tmp_path / "marked").glob("*.json") for x in f.read_text().splitlines()]
+    assert len(marked) == 2 and json.loads(marked[0]["record"])["_deletion_reason"] == "four"
+    put(tmp_path / "bad.json", json.dumps({"advanced": {"deletionRules": [{"searchTarget": "none", "action": "delete_row"}]}}))
+    with pytest.raises(ValueError):
+        config.advanced(config.load_structured(str(tmp_path / "bad.json")))
