@@ -239,6 +239,41 @@ def test_large_blocks_lose_nothing(spark, monkeypatch):
             assert {*a[:2]} & {*b[:2]} or {*a[-2:]} & {*b[-2:]}, (a, b)
 
 
+def test_near_contacts_are_always_compared(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):  # one edit in the only contact; neither last name nor postcode agree
+        mail, e = "".join(rng.choice("abcdefgh12345678") for _ in range(12)), i % 3
+        k = rng.randrange(1, 11)
+        near = (mail[:k] + mail[k + 1 :], mail[:k] + "z" + mail[k + 1 :], mail[:k] + mail[k + 1] + mail[k] + mail[k + 2 :])[e]
+        rows += [("club", f"c{i}", "Ann", f"L{i}xy", mail + "@mail.example", None, f"1{i:03d}"), ("event", f"e{i}", "Ann", f"Q{i}uv", near + "@mail.example", None, f"9{i:03d}")]
+        digits = f"5{rng.randrange(10**8):08d}"
+        near = (digits[:k] + digits[k + 1 :], digits[:k] + str(rng.randrange(10)) + digits[k + 1 :], digits[-8:])[e]
+        rows += [("club", f"m{i}", "Ann", f"L{i}xy", None, "0" + digits, f"1{i:03d}"), ("event", f"n{i}", "Ann", f"Q{i}uv", None, "0" + near, None)]
+    pairs = {(r["id_a"], r["id_b"]) for r in matching.candidates(matching.profiles(spark.createDataFrame(rows, PEOPLE))).collect()}
+    assert {(a + str(i), b + str(i)) for i in range(150) for a, b in ("ce", "mn")} <= pairs
+
+
+def test_contact_keys_against_similarities():
+    rng = random.Random(11)
+    near = 0
+    for _ in range(6000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 11)))
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 2)] = rng.choice(["", "a", "b", "cc"])
+        a, b = a + "@x.example", "".join(b) + rng.choice(["@x.example", "@y.exmple"])
+        m, n = (str(rng.randrange(10 ** rng.randint(6, 8), 10**9)) for _ in "ab")
+        n = rng.choice([n, m[-7:], m[1:], m[:3] + m[4:], m[:2] + m[3] + m[2] + m[4:]])
+        for kind, x, y, similar in (("e", a, b, matching.email_similarity), ("m", m, n, matching.mobile_similarity)):
+            if similar(x, y) >= matching.NEAR:
+                near += 1
+                keys = [matching.contact_keys([v], []) if kind == "e" else matching.contact_keys([], [v]) for v in (x, y)]
+                assert keys[0] & keys[1], (x, y)
+    assert near > 4000
+
+
 def test_similarities():
     assert matching.edit("abcd", "abdc") == 1 and matching.edit("abc", "xyz", 2) == 3 and matching.edit("", "ab") == 2
     assert matching.fold("Säirnta") == matching.fold("Saeirnta") == matching.fold("sairnta")
