@@ -4,7 +4,8 @@ Method: each file has a versioned schema fingerprint (paths, JSON types). Consec
 are compared; a removed and an added path are one rename if linked members keep their values. Members are
 linked by the key-like paths (mostly distinct in the file) whose values they share: each shared value is a
 vote for a pair of rows, weighted by the path's distinctness, so no id name is assumed. The changes are migration steps: chaining renames back to a feed's first version gives
-each path its stable name, to which known mappings, defaults and casts are applied.
+each path its stable name, to which known mappings, their defaults and casts to the type of the first version are
+applied; fields without a mapping stay under their stable name.
 
 Defined edge cases: files without rows are no versions; an unparsable or non-object payload has no fields;
 empty objects have no path; an array is one value; equal values compare as text apart from outer blanks,
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,6 +87,7 @@ class Drift:
 
     def __init__(self, rows: DataFrame, files: DataFrame) -> None:
         meta = files.select("file_id", "feed_id", "seq_no", "source_path", "file_format").dropDuplicates(["file_id"])
+        self.rows = rows.select("file_id", "row_id")
         # once materialised, the cells feed every comparison; rows are not parsed again
         self.cells = cut(cells_of(rows).withColumn("cmp", _comparable("value")))
         typed = self.cells.groupBy("file_id", "path", "json_type").agg(F.count("*").alias("n"))
@@ -154,21 +157,102 @@ class Drift:
                 return at.select("file_id", "path", "to_file", F.col("to_path").alias("stable"))
 
     def contacts(self, mappings: DataFrame, targets: list[str]) -> DataFrame:
-        """One row per input row with the target fields as text; unknown paths inherit the target of their rename chain."""
-        rules = mappings.select("match_name", "file_format", "source_field", "target_field").limit(MAX_MAPPINGS + 1).collect()
+        """One row per input row: the target fields as text, every other field in ``fields`` under its stable name.
+
+        Unknown paths inherit the target of their rename chain. A value of another JSON type than its stable name is cast;
+        values without a cast stand in ``cast_failures``. Of several paths with one name the first mapped that holds a
+        value counts, differing values of the others stand in ``conflicts``. A ``default_value`` of the mappings fills
+        targets a row has no value for. Rows without cells come out with their ids alone.
+        """
+        wanted = ["match_name", "file_format", "source_field", "target_field"]
+        given = "default_value" in mappings.columns
+        ordered = mappings.orderBy("mapping_id") if "mapping_id" in mappings.columns else mappings
+        rules = ordered.select(*wanted, F.col("default_value") if given else F.lit(None).cast("string")).limit(MAX_MAPPINGS + 1).collect()
         if len(rules) > MAX_MAPPINGS:
             raise ValueError("too many mappings")
-        known = None
+        known = default = F.lit(None)
         base = F.element_at(F.split("source_path", "/"), -1)
         named = self.fields.select("file_id", "path").join(self.files.select("file_id", "source_path", "file_format"), "file_id")
         for glob in sorted({(r[0], r[1]) for r in rules}, key=str):
-            table = {r[2]: r[3] for r in rules if (r[0], r[1]) == glob}
+            table = {r[2]: (r[3], n) for n, r in enumerate(rules) if (r[0], r[1]) == glob}
             ok = F.lower(base).rlike(fnmatch.translate(glob[0].lower())) & (F.lit(True) if glob[1] is None else F.col("file_format") == glob[1])
-            t = F.when(ok, F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col("path")])
-            known = t if known is None else F.coalesce(known, t)
-        named = named.withColumn("target", known)
-        names = self.names().join(named, ["file_id", "path"])
-        chain = names.filter("target is not null").groupBy("to_file", "stable").agg(F.min("target").alias("inherited"))
-        resolved = names.join(chain, ["to_file", "stable"], "left").select("file_id", "path", F.coalesce("target", "inherited").alias("target")).filter("target is not null")
-        wide = dim_join(self.cells, resolved, ["file_id", "path"]).groupBy("file_id", "row_id")
-        return wide.agg(*[F.min(F.when(F.col("target") == t, F.col("value"))).alias(t.lower()) for t in targets])
+            made = F.create_map(*[x for k, (t, n) in table.items() for x in (F.lit(k), F.struct(F.lit(t).alias("target"), F.lit(n).alias("n")))])
+            known = F.coalesce(known, F.when(ok, made[F.col("path")]))
+            if fixed := {r[3]: r[4] for r in rules if (r[0], r[1]) == glob and r[4] is not None}:
+                default = F.coalesce(default, F.when(ok, F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv])))
+        named = named.withColumn("known", known.cast("struct<target:string,n:int>")).select("file_id", "path", F.col("known.target").alias("target"), F.col("known.n").alias("n"))
+        names = self.names().join(named, ["file_id", "path"]).join(self.fields.select("file_id", "path", "json_type"), ["file_id", "path"])
+        born = self.files.select(F.col("file_id").alias("to_file"), F.col("seq_no").alias("born"))
+        names = cut(names.join(born, "to_file").join(self.files.select("file_id", "seq_no"), "file_id"))
+        chain = names.groupBy("to_file", "stable").agg(F.min("target").alias("inherited"), F.min_by("json_type", F.when(F.col("json_type").isNotNull(), F.col("seq_no"))).alias("wanted"))
+        # a path that came back after its first owner was renamed is another field
+        rank = F.row_number().over(Window.partitionBy("file_id", "stable").orderBy("born", "to_file"))
+        second = names.withColumn("r", rank).filter("r > 1").select("to_file", "stable").distinct().withColumn("second", F.lit(True))
+        resolved = names.join(chain, ["to_file", "stable"]).join(second, ["to_file", "stable"], "left")
+        own = F.when(F.col("second"), F.concat_ws("@", "stable", F.col("born").cast("string"))).otherwise(F.col("stable"))
+        target = F.coalesce("target", "inherited")
+        target = F.when(target.isin(targets), target)
+        resolved = resolved.select("file_id", "path", target.alias("target"), F.coalesce("n", F.lit(MAX_MAPPINGS)).alias("n"), own.alias("stable"), "wanted")
+        wide = dim_join(self.cells.select("file_id", "row_id", "path", "json_type", "value"), resolved, ["file_id", "path"])
+        wide = wide.groupBy("row_id").agg(F.collect_list(F.struct("n", "path", "target", "stable", "json_type", "wanted", "value")).alias("cells"))
+        fill = self.files.select("file_id", default.cast("map<string,string>").alias("defaults")) if given else None
+        rows = self.rows if fill is None else dim_join(self.rows, fill, ["file_id"])
+        rows = (rows if fill is not None else rows.withColumn("defaults", F.lit(None).cast("map<string,string>"))).join(wide, "row_id", "left")
+        columns = [t.lower() for t in targets]
+        schema = f"file_id bigint, row_id bigint, {''.join(f'`{c}` string, ' for c in columns)}fields map<string,struct<json_type:string,value:string>>, cast_failures array<struct<name:string,path:string,json_type:string,wanted:string,value:string>>, conflicts array<struct<name:string,path:string,value:string>>"
+        kinds = [pa.int64(), pa.int64(), *[pa.string()] * len(columns), pa.map_(pa.string(), _struct("json_type", "value")), pa.list_(_struct("name", "path", "json_type", "wanted", "value")), pa.list_(_struct("name", "path", "value"))]
+        heads = ["file_id", "row_id", *columns, "fields", "cast_failures", "conflicts"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[list] = [[] for _ in kinds]
+                for f, r, d, cells in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    mapped, *rest = _assemble(cells or [])
+                    mapped = dict(d or []) | {k: v for k, v in mapped.items() if v is not None}
+                    for c, x in zip(out, (f, r, *[mapped.get(t) for t in targets], *rest), strict=True):
+                        c.append(x)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=heads)
+
+        return rows.select("file_id", "row_id", "defaults", "cells").mapInArrow(run, schema)
+
+
+def _struct(*names: str) -> pa.DataType:
+    return pa.struct([(n, pa.string()) for n in names])
+
+
+_NUMBER = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+
+
+def cast_text(value: str, actual: str, wanted: str | None) -> str | None:
+    """The text of a value as the wanted JSON type; null if it has none."""
+    if wanted in (None, actual, "string"):
+        return value
+    text = value.strip()
+    if actual == "string" and wanted == "number" and _NUMBER.fullmatch(text):
+        return text.removeprefix("+")
+    if actual == "string" and wanted == "boolean" and text.lower() in ("true", "false"):
+        return text.lower()
+    return None
+
+
+def _assemble(cells: list[dict]) -> tuple[dict, dict, list[dict], list[dict]]:
+    """Targets, other fields, failed casts and conflicting values of one row."""
+    mapped: dict = {}
+    fields: dict = {}
+    failed, conflicts = [], []
+    order = lambda c: (c["value"] is None, MAX_MAPPINGS if c["n"] is None else c["n"], c["path"], c["value"] or "")
+    for c in sorted(cells, key=order):
+        target, name, value = c["target"], c["stable"] or c["path"], c["value"]
+        if target is None and value is not None:
+            value = cast_text(value, c["json_type"], c["wanted"])
+            if value is None:
+                failed.append({"name": name, "path": c["path"], "json_type": c["json_type"], "wanted": c["wanted"], "value": c["value"]})
+        have = mapped if target is not None else fields
+        key, new = (target, value) if target is not None else (name, {"json_type": c["wanted"] or c["json_type"], "value": value})
+        old = have.setdefault(key, new)
+        if value is not None and old != new:
+            if (old if target is not None else old["value"]) is None:
+                have[key] = new
+            else:
+                conflicts.append({"name": key, "path": c["path"], "value": c["value"]})
+    return mapped, fields, failed, conflicts

@@ -218,6 +218,20 @@ def test_drift(spark):
     assert {x[0] for x in late} == {1}
 
 
+def test_contacts_keep_every_field(spark):
+    one = [{"id": f"m{i}", "mail": f"a{i}@x.y", "state": ["x", "y", "z"][i % 3], "points": i} for i in range(12)]
+    two = [{"id": p["id"], "mail": p["mail"], "status": p["state"], "points": str(p["points"]) if i else "many", "loyalty": {"tier": "gold"}} for i, p in enumerate(one)]
+    two[1] |= {"contact": {"mail": "other@x.y"}, "note": None}
+    d, _ = changes(spark, [one, two, ["broken", {}]])
+    maps = spark.createDataFrame([(1, "contacts_*", None, "mail", "Email", None), (2, "contacts_*", None, "contact.mail", "Email", None), (3, "contacts_*", None, "origin", "DataSource", "unknown")], "mapping_id int, match_name string, file_format string, source_field string, target_field string, default_value string")
+    c = {r["row_id"]: r.asDict(recursive=True) for r in d.contacts(maps, ["Email", "DataSource"]).collect()}
+    assert len(c) == 26 and c[1]["fields"] == {"id": {"json_type": "string", "value": "m0"}, "state": {"json_type": "string", "value": "x"}, "points": {"json_type": "number", "value": "0"}}
+    assert c[14]["fields"]["state"]["value"] == "y" and c[14]["fields"]["points"] == {"json_type": "number", "value": "1"} and c[14]["fields"]["loyalty.tier"]["value"] == "gold" and c[14]["fields"]["note"]["value"] is None
+    assert c[14]["email"] == "a1@x.y" and c[14]["conflicts"] == [{"name": "Email", "path": "contact.mail", "value": "other@x.y"}] and c[14]["cast_failures"] == []
+    assert c[13]["cast_failures"] == [{"name": "points", "path": "points", "json_type": "string", "wanted": "number", "value": "many"}] and c[13]["fields"]["points"]["value"] is None
+    assert c[25]["fields"] == c[26]["fields"] == {} and c[1]["datasource"] == "unknown" and c[25]["email"] is None
+
+
 def test_drift_edge_cases(spark):
     _, got = changes(spark, [[{"a": 1, "e": {}}, "broken", "[1]"], [{"a": 1}, {"a": "x"}], [{"a": "x"}, {"a": 1}, {"a": None}], [{"a": "1"}]])
     assert got == [(2, "retyped", "a", "a")] or all(k == "retyped" for _, k, _, _ in got)
