@@ -7,8 +7,9 @@ of published heuristic filters turn the statistics into named failures, and the
 entries and noise decides the kind.
 
 Defined edge cases: null, empty and blank texts have zero statistics, no failure and no kind; markup and
-quoting marks count as symbols but their content is judged; texts of any length are read whole; ties between
-kinds go to junk, then table, then list.
+quoting marks count as symbols but their content is judged; texts of any length are read whole, and the statistics
+are those of the whole text; only for the kind and the failed rules the author's signature at the end (see
+``signature_lines``) is left out; ties between kinds go to junk, then table, then list.
 """
 
 from __future__ import annotations
@@ -48,6 +49,9 @@ _CODE = re.compile(r"0x[0-9a-fA-F]+|\d{1,2}:\d{2}:\d{2}|^\[?\d{4,}[.\]]|[A-Za-z]
 #: end marks or capitals inside a word
 _ODD = re.compile(r"[^\W\d_][.,;?!][^\W\d_]|[a-zß-ÿ][A-Z]|^[.,;?!][^\W\d_]")
 _SIGN = re.compile(r"^\s*(?:-- ?|-{3,}|_{3,}|~{3,}|={3,}|\*{3,})\s*$")
+_QUOTE_END = re.compile(r"\[/quote\]|</blockquote>", re.I)
+#: Lines of a signature after its sign line, and characters of each, at most.
+SIGN_LINES, SIGN_CHARS = 3, 80
 _SEPARATORS = [re.compile(p) for p in (r"\s*\|\s*", r"\t", r"\s*;\s*", r"\s+/\s+", r" {2,}", r"\s*,\s*", r"\s*::\s*|\s+~\s+|\s*¦\s*", r"\s+-\s+|\s+–\s+")]
 
 
@@ -60,11 +64,25 @@ def text_lines(text: str) -> list[str]:
         text = re.sub(r"</?(?:tr|li|p|div|h\d)[^>]*>", lambda m: "\n" if m[0][1] == "/" else ("\n- " if m[0][1:3].lower() == "li" else "\n"), text, flags=re.I)
         text = re.sub(r"\[/?quote(?:=[^\]]{0,200})?\]", "\n", text, flags=re.I)
         text = html.unescape(_TAG.sub("", text))
-    lines = [s for s in (_QUOTE.sub("", line).rstrip() for line in text.split("\n")) if s.strip()]
-    for i in range(max(0, len(lines) - 5), len(lines)):  # a signature at the end is not the text
-        if i and _SIGN.match(lines[i]):
-            return lines[:i]
-    return lines
+    return [s for s in (_QUOTE.sub("", line).rstrip() for line in text.split("\n")) if s.strip()]
+
+
+def signature_lines(text: str, lines: list[str]) -> int:
+    """How many of the last lines are the author's signature: a sign line outside quotes and few short lines to the end.
+
+    The signature of a quoted post is none, nor is a block that holds rows, marked entries or whole sentences.
+    """
+    at = next((i for i in range(len(lines) - 1, max(0, len(lines) - SIGN_LINES - 2), -1) if _SIGN.match(lines[i])), None)
+    if at is None:
+        return 0
+    block = lines[at + 1 :]
+    if any(len(x) > SIGN_CHARS or _BULLET.match(x) or re.search(r"[.!?…。！？]$", x) for x in block) or any(row_lines(lines)[at + 1 :]):
+        return 0
+    raw = [x for x in text.split("\n") if x.strip()]
+    last = next((i for i in range(len(raw) - 1, -1, -1) if _SIGN.match(_TAG.sub("", _QUOTE.sub("", raw[i])))), None)
+    if last is None or any(_QUOTE.match(x) for x in raw[last:]) or _QUOTE_END.search("\n".join(raw[last:])):
+        return 0
+    return len(lines) - at
 
 
 def row_lines(lines: list[str]) -> list[bool]:
@@ -117,13 +135,22 @@ def noise_line(line: str) -> bool:
 
 
 def analyse(text: str | None, known: set[str]) -> dict[str, float]:
-    """Line and word statistics of one text."""
-    out = dict.fromkeys(STATS, 0.0)
-    if not text or not text.strip():
-        return out
-    lines = text_lines(text)
+    """Line and word statistics of one whole text."""
+    lines = text_lines(text) if text and text.strip() else []
+    return _measure(text, lines, known) if lines else dict.fromkeys(STATS, 0.0)
+
+
+def both(text: str | None, known: set[str]) -> tuple[dict[str, float], dict[str, float]]:
+    """The statistics of the whole text, and those that decide its kind: without the signature."""
+    lines = text_lines(text) if text and text.strip() else []
     if not lines:
-        return out
+        return dict.fromkeys(STATS, 0.0), dict.fromkeys(STATS, 0.0)
+    whole, n = _measure(text, lines, known), signature_lines(text, lines)
+    return whole, _measure(text, lines[: len(lines) - n], known) if 0 < n < len(lines) else dict(whole)
+
+
+def _measure(text: str, lines: list[str], known: set[str]) -> dict[str, float]:
+    out = dict.fromkeys(STATS, 0.0)
     size = [len(re.sub(r"\s", "", x)) for x in lines]
     total = max(1, sum(size))
     rows = row_lines(lines) if len(lines) >= 3 else [False] * len(lines)
@@ -219,11 +246,13 @@ def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id",
             cols: list[list] = [[] for _ in STATS]
             failed, kinds = [], []
             for i, t in enumerate(texts):
-                s = analyse(t, known)
+                s, judged = both(t, known)
                 d = max(1, int(dense[i]))
                 if s["n_lines"]:
-                    s |= {"n_chars": float(n[i]), "letter_ratio": letters[i] / d, "digit_ratio": digits[i] / d, "symbol_ratio": symbols[i] / d}
-                kind, rules = judge(s)
+                    chars = {"n_chars": float(n[i]), "letter_ratio": letters[i] / d, "digit_ratio": digits[i] / d, "symbol_ratio": symbols[i] / d}
+                    s |= chars
+                    judged |= chars
+                kind, rules = judge(judged)
                 for c, name in zip(cols, STATS, strict=True):
                     c.append(round(float(s[name]), 6))
                 failed.append(rules)

@@ -114,6 +114,20 @@ def test_kinds_by_example():
         assert quality.judge(s)[0] == want, (text or "")[:60]
 
 
+def test_statistics_are_of_the_whole_text(spark):
+    reply = PROSE + " " + PROSE
+    texts = ["> " + PROSE + "\n> --\n> Ann | two cats\n\n" + reply, PROSE + "\n---\n" + reply, "[quote]" + PROSE + "\n-- \nAnn[/quote]\nnot so", PROSE + "\n-- \nAnn | two cats\nMy setup: dry hands", PROSE + "\n---\n- a\n- b"]
+    signed = [quality.signature_lines(t, quality.text_lines(t)) for t in texts]
+    assert signed == [0, 0, 0, 3, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = quality.text_quality(docs, spark.createDataFrame([("en", w) for w in KNOWN], "lang string, word string")).orderBy("doc_id").collect()
+    assert [r["n_lines"] for r in out] == [4, 3, 4, 4, 4]
+    n = len(quality._WORD.findall(PROSE))
+    assert [r["n_words"] for r in out] == [3 * n + 3, 3 * n, n + 3, n + 7, n + 2] and all(r["kind"] is None for r in out)
+    whole, judged = quality.both(PROSE + "\n-- \n" + "Ann of the hill and mill\n" * 3, KNOWN)
+    assert whole["entry_share"] > 0 and judged["entry_share"] == 0
+
+
 def test_character_counts_against_brute_force():
     texts = [t or "" for t, _ in CASES] + ["ä1! \x00é"]
     got = np.array(quality.char_counts(texts)).T
