@@ -10,7 +10,7 @@ import sys
 from siltsieve import config as C
 from siltsieve import workflows as X
 from siltsieve.operators.rewrite import Rewrite
-from siltsieve.report import Analysis, render
+from siltsieve.report import MAX_GROUPS, Analysis, render
 from siltsieve.session import get_session, ship
 from siltsieve.sinks import writers as W
 
@@ -72,12 +72,15 @@ def main(argv: list[str] | None = None, spark: object | None = None) -> int:
             return 2
         guard(a.log_path)
         job = Analysis(a.key, a.check_key, a.check_row, a.validate, adv.hashing, adv.include, adv.exclude, adv.targets, adv.rules)
-        out = X.run_analysis(spark, a.path, job, a.xml_record_path, a.json_mode)
+        tables: dict = {}
+        out = X.run_analysis(spark, a.path, job, a.xml_record_path, a.json_mode, tables)
         if adv.schema.enabled:
             s = X.schema_report(spark, a.path, adv.schema.sample_percent, adv.schema.max_samples, adv.schema.max_depth, adv.schema.group_by_folder, a.xml_record_path, adv.schema.seed)
             out["schemaReport"] = [r.asDict() for r in s.orderBy("path").limit(100_000).collect()]
         if adv.targets or adv.schema.enabled:
-            X.write_artifacts(out, a.log_path, out.get("schemaReport"), tuple(adv.schema.output_formats))
+            X.write_artifacts(out, a.log_path, out.get("schemaReport"), tuple(adv.schema.output_formats), tables)
+        if a.output_json or a.output_txt or any(n > MAX_GROUPS for _, n in tables.values()):
+            X.write_tables(tables, a.log_path)
         if any(r.output_path for r in adv.rules):
             guard(*[r.output_path for r in adv.rules])
             X.write_rule_outputs(spark, a.path, job, a.xml_record_path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from siltsieve.operators import rules as R
 from siltsieve.operators.search import Target
 from siltsieve.session import cut
 
-#: Groups whose locations a report lists; counts are always complete.
+#: Locations a report lists as a preview; counts, and the tables and artefacts beside it, are always complete.
 MAX_GROUPS = 100_000
 
 
@@ -63,19 +63,29 @@ def _facts(key: str, hashing: str, include: list[str], exclude: list[str]):
     return udf
 
 
-def analyse(records: DataFrame, sources: list, job: Analysis) -> dict:
-    """The report of a canonical record table."""
+def match_entry(r: Row) -> dict:
+    return {"Found": True, "Path": r["path"], "Value": r["value"], "MatchedValue": r["matched_value"], "Target": r["target"], "Location": {"filePath": r["source_path"], "lineNumber": r["line_number"]}}
+
+
+def analyse(records: DataFrame, sources: list, job: Analysis, tables: dict[str, tuple[DataFrame, int]] | None = None) -> dict:
+    """The report of a canonical record table.
+
+    The report lists at most MAX_GROUPS locations of a kind; ``tables`` receives them all with their numbers, as
+    ``search_matches``, ``duplicate_ids`` and ``duplicate_rows``.
+    """
+    tables = {} if tables is None else tables
     began = time.time()
     ok = records.filter("data is not null")
     search = deletion = None
     if job.targets:
         applied = cut(R.apply_rules(ok, job.targets, job.rules, "data"))
-        m = applied.select("source_path", "line_number", F.explode("matches").alias("m"))
-        by = {r["target"]: r["n"] for r in m.groupBy("m.target").agg(F.count("*").alias("n")).collect()}
-        found = m.orderBy("source_path", "line_number").limit(MAX_GROUPS).collect()
+        m = applied.select("source_path", "line_number", F.explode("matches").alias("m")).select("source_path", "line_number", *[F.col(f"m.{c}").alias(c) for c in ("target", "path", "value", "matched_value")])
+        by = {r["target"]: r["n"] for r in m.groupBy("target").agg(F.count("*").alias("n")).collect()}
+        tables["search_matches"] = m, sum(by.values())
+        found = m.orderBy("source_path", "line_number", "path").limit(MAX_GROUPS).collect()
         search = {"totalMatches": sum(by.values()), "matchesByTarget": {t.name: by.get(t.name, 0) for t in job.targets}, "results": {}}
         for r in found:
-            search["results"].setdefault(r["m"]["target"], []).append({"Found": True, "Path": r["m"]["path"], "Value": r["m"]["value"], "MatchedValue": r["m"]["matched_value"], "Target": r["m"]["target"], "Location": {"filePath": r["source_path"], "lineNumber": r["line_number"]}})
+            search["results"].setdefault(r["target"], []).append(match_entry(r))
         if job.rules:
             s = R.rule_statistics(applied).first()
             deletion = {"totalRows": s["total_rows"], "processedRows": s["total_rows"], "deletedRows": s["deleted_rows"] or 0, "modifiedRows": s["modified_rows"] or 0, "matchesByTarget": search["matchesByTarget"], "errors": s["errors"] or 0}
@@ -90,6 +100,7 @@ def analyse(records: DataFrame, sources: list, job: Analysis) -> dict:
         members = cut(rows.join(n, column).select(column, "folder", "source_path", "line_number"))
         by_folder = {r["folder"]: r["n"] for r in members.groupBy("folder").agg(F.count("*").alias("n")).collect()}
         groups, instances = n.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        tables[{"key": "duplicate_ids", "hash": "duplicate_rows"}[column]] = members, instances
         shown: dict[str, list] = {}
         for r in members.orderBy(column, "source_path", "line_number").limit(MAX_GROUPS).collect():
             shown.setdefault(r[column], []).append({"filePath": r["source_path"], "lineNumber": r["line_number"]})

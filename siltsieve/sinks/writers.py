@@ -71,9 +71,9 @@ def output_format(path: str) -> str:
     return {".csv": "csv", ".json": "json", ".ndjson": "ndjson"}.get(os.path.splitext(path)[1].lower(), "jsonl")
 
 
-def write_table(df: DataFrame, path: str, fmt: str) -> None:
-    """Distributed output: a folder of part files, for results of any size."""
-    w = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, fmt: str, by: tuple[str, ...] = ()) -> None:
+    """Distributed output: a folder of part files, for results of any size, in subfolders by the columns ``by``."""
+    w = df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
@@ -111,6 +111,29 @@ def write_json(value: object, path: str) -> None:
         f.write("\n")
 
 
+def write_json_lists(head: dict, lists: Iterable[tuple[str, Iterable[object]]], path: str) -> None:
+    """``head`` with a last member ``results`` of named lists, which are streamed."""
+    with staged(path) as f:
+        f.write("{\n" + "".join(f"  {json.dumps(k)}: {json.dumps(v, ensure_ascii=False)},\n" for k, v in head.items()) + '  "results": {')
+        for n, (name, items) in enumerate(lists):
+            f.write(("," if n else "") + f"\n    {json.dumps(name, ensure_ascii=False)}: ")
+            _stream_list(items, f)
+        f.write("\n  }\n}\n")
+
+
+def write_json_list(items: Iterable[object], path: str) -> None:
+    with staged(path) as f:
+        _stream_list(items, f)
+        f.write("\n")
+
+
+def _stream_list(items: Iterable[object], f: IO[str]) -> None:
+    f.write("[")
+    for n, x in enumerate(items):
+        f.write((",\n" if n else "\n") + json.dumps(x, ensure_ascii=False))
+    f.write("\n]")
+
+
 def write_text(text: str, path: str) -> None:
     with staged(path) as f:
         f.write(text)

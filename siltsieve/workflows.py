@@ -22,9 +22,24 @@ from siltsieve.sources.discovery import JSON_FORMATS, REWRITE_FORMATS, Source, d
 from siltsieve.sources.records import read_lines, read_records
 
 
-def run_analysis(spark: SparkSession, paths: str, job: reporting.Analysis, xml_path: str = "", json_mode: str = "lines") -> dict:
+def run_analysis(spark: SparkSession, paths: str, job: reporting.Analysis, xml_path: str = "", json_mode: str = "lines", tables: dict | None = None) -> dict:
     sources = discover(paths, spark=spark)
-    return reporting.analyse(read_records(spark, sources, json_mode=json_mode, xml_path=xml_path), sources, job)
+    return reporting.analyse(read_records(spark, sources, json_mode=json_mode, xml_path=xml_path), sources, job, tables)
+
+
+def write_tables(tables: dict, folder: str) -> list[str]:
+    """Every match and duplicate member as a folder of JSON lines; members of one key or row stand together."""
+    out = []
+    for name, (df, n) in tables.items():
+        if n:
+            column = df.columns[0]
+            path = W.contained(folder, name)
+            if name == "search_matches":
+                W.write_table(df, path, "jsonl", ("target",))
+            else:
+                W.write_table(df.repartitionByRange(column).sortWithinPartitions(column, "source_path", "line_number"), path, "jsonl")
+            out.append(path)
+    return out
 
 
 def schema_report(spark: SparkSession, paths: str, fraction: float = 0.1, max_samples: int = 100_000, max_depth: int = 10, by_folder: bool = False, xml_path: str = "", seed: int = 17) -> DataFrame:
@@ -47,8 +62,11 @@ def write_rule_outputs(spark: SparkSession, paths: str, job: reporting.Analysis,
     return {r.search_target: r.output_path for r in wanted}
 
 
-def write_artifacts(report: dict, folder: str, schema: list[dict] | None = None, formats: tuple[str, ...] = ("json",)) -> list[str]:
-    """Search results (whole, per target and as CSV), deletion statistics and the schema report as files."""
+def write_artifacts(report: dict, folder: str, schema: list[dict] | None = None, formats: tuple[str, ...] = ("json",), tables: dict | None = None) -> list[str]:
+    """Search results (whole, per target and as CSV), deletion statistics and the schema report as files.
+
+    Search results are streamed from the ``tables`` of the analysis; without them only the report's preview is known.
+    """
     out: list[str] = []
 
     def put(name: str, write) -> None:
@@ -57,11 +75,20 @@ def write_artifacts(report: dict, folder: str, schema: list[dict] | None = None,
         out.append(path)
 
     if (s := report.get("searchResults")) is not None:
-        put("search_results.json", lambda p: W.write_json(s, p))
-        for t, found in s["results"].items():
+        names = sorted(t for t, n in s["matchesByTarget"].items() if n)
+        full = (tables or {}).get("search_matches")
+
+        def of(t: str) -> Iterator[dict]:
+            if full is None:
+                return iter(s["results"].get(t, []))
+            rows = full[0].filter(F.col("target") == t).orderBy("source_path", "line_number", "path")
+            return map(reporting.match_entry, rows.toLocalIterator())
+
+        put("search_results.json", lambda p: W.write_json_lists({k: v for k, v in s.items() if k != "results"}, ((t, of(t)) for t in names), p))
+        for t in names:
             safe = "".join(c if c.isalnum() or c in "-_" else "_" for c in t)
-            put(f"search_target_{safe}.json", lambda p, found=found: W.write_json(found, p))
-        rows = [(t, m["Path"], m["MatchedValue"], m["Location"]["filePath"], m["Location"]["lineNumber"]) for t in sorted(s["results"]) for m in s["results"][t]]
+            put(f"search_target_{safe}.json", lambda p, t=t: W.write_json_list(of(t), p))
+        rows = ((t, m["Path"], m["MatchedValue"], m["Location"]["filePath"], m["Location"]["lineNumber"]) for t in names for m in of(t))
         put("search_results.csv", lambda p: W.write_rows_csv(["target", "path", "matched_value", "file_path", "line_number"], rows, p))
     if (d := report.get("deletionStats")) is not None:
         put("deletion_stats.json", lambda p: W.write_json(d, p))

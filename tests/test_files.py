@@ -79,6 +79,23 @@ def test_report(spark, folder):
     assert human_size(1536) == "1.5 KiB"
 
 
+def test_artefacts_are_whole_beyond_the_preview(spark, folder, tmp_path, monkeypatch):
+    from siltsieve import report
+
+    monkeypatch.setattr(report, "MAX_GROUPS", 2)
+    tables = {}
+    out = workflows.run_analysis(spark, str(folder), Analysis(targets=[Target("ann", "name", ["ANN"])]), "r.c", tables=tables)
+    assert sum(map(len, out["duplicateIds"].values())) == len(out["searchResults"]["results"]["ann"]) == 2
+    workflows.write_artifacts(out, str(tmp_path), tables=tables)
+    whole = json.loads((tmp_path / "search_results.json").read_text())
+    assert whole["totalMatches"] == len(whole["results"]["ann"]) == 4 and len(json.loads((tmp_path / "search_target_ann.json").read_text())) == 4
+    assert len((tmp_path / "search_results.csv").read_text().splitlines()) == 5
+    workflows.write_tables(tables, str(tmp_path))
+    held = {n: [json.loads(x) for f in (tmp_path / n).rglob("part-*.json") for x in f.read_text().splitlines()] for n in tables}
+    assert len(held["search_matches"]) == 4 and {n: len(x) for n, x in held.items()} == {n: k for n, (_, k) in tables.items()}
+    assert sum(r["key"] == "1" for r in held["duplicate_ids"]) == 5
+
+
 def test_ingest(spark, folder, tmp_path):
     maps = [Mapping(name="a.csv", columns={"id": "Id", "name": "FirstName"}, data_source="csv"), Mapping(format="xml", xml_record_path="r.c", columns={"id": "Id"}, attributes={"@s": "State"}, include_unmapped=True)]
     out = tmp_path / "u.ndjson"
