@@ -1,16 +1,19 @@
 """Timestamps of mixed format, precision and zone to one UTC instant each.
 
-Method: every value is matched against a set of format families; a value may be valid under several
-(day first or month first). For each source the mixture weights of the interpretations are estimated
-by expectation-maximisation over counts of (source, validity mask), where a declared day order enters
-as a Dirichlet prior. The posterior of a value's source chooses its interpretation; a value whose best
-posterior is below ``min_posterior`` stays unresolved. All parsing and zone arithmetic is native
-column expressions, independent of the session time zone.
+Method: every value is parsed once under every format it fits, which gives its validity mask; a value may be
+valid under several (day or month first, compact date or epoch). Each source, declared or not, is a mixture of
+the formats, estimated by expectation-maximisation over counts of (source, mask) and shrunk towards the mixture of
+all sources by a fixed share of the source's own rows. Weights, posteriors and choices therefore depend on the
+proportions of the masks alone, never on the size of the table. A declared day order is binding: it removes the
+other order from the mask. The posterior of a value's source chooses its interpretation; one whose best posterior
+is below ``min_posterior`` is marked ``unresolved`` and stays ``unreadable``. All parsing and zone arithmetic is
+native column expressions, independent of the session time zone; the parsed rows are materialised once and serve
+both the mixture and the results.
 
 Defined edge cases: null, blank, ``null`` and ``n/a`` give a null outcome; text of any length that
 fits no family is ``unreadable``; an impossible calendar date or clock time is ``unreadable``; a local
 time in a fold is ``ambiguous``, in a gap ``nonexistent``; a local time whose source declares no zone
-is ``no_zone``; a day order that stays open is ``no_zone`` when no zone is known, else ``ambiguous_format``.
+is ``no_zone``, also where its day order stays open; a null source is a source of its own.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from zoneinfo import available_timezones
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltsieve.session import dim_join, holds, strip
+from siltsieve.session import NOTHING, cut, dim_join, holds, strip
 
 #: Usual zone abbreviations in hours from UTC.
 ZONE_ABBREVIATIONS = {
@@ -32,29 +35,29 @@ ZONE_ABBREVIATIONS = {
 }
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 INTERPRETATIONS = ["iso", "compact", "dmy", "mdy", "d_mon_y", "mon_d_y", "epoch_s", "epoch_ms", "epoch_us", "epoch_ns"]
-DMY, MDY = INTERPRETATIONS.index("dmy"), INTERPRETATIONS.index("mdy")
+BIT = {k: 1 << i for i, k in enumerate(INTERPRETATIONS)}
+#: Share of a source's rows by which its mixture is drawn towards that of all sources.
+SHRINK = 0.02
+ROUNDS = 200
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([AaPp])\.?[Mm]\.?)?"
-_ZONE = r"(?: ?(Z|z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Za-z]{2,5}|[A-Z][A-Za-z_]+(?:/[A-Za-z0-9_+-]+){1,2}))?"
-#: name, pattern, replacement giving family|a|b|c|hour|minute|second|fraction|half|zone
+_ZONE = r"(?: *(Z|z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Za-z]{2,5}|[A-Z][A-Za-z_]+(?:/[A-Za-z0-9_+-]+){1,2}))?"
+#: name, what the text begins with, pattern, replacement giving |family|a|b|c|hour|minute|second|fraction|half|zone
 FAMILIES = [
-    ("ymd", rf"^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}})(?:[T ] ?{_TIME}{_ZONE})?$", "ymd|$1|$3|$4|$5|$6|$7|$8|$9|$10"),
-    ("cmp", rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[T ]?(\d{{2}}):?(\d{{2}})(?::?(\d{{2}})(?:[.,](\d{{1,9}}))?)?{_ZONE})?$", "cmp|$1|$2|$3|$4|$5|$6|$7||$8"),
-    ("num", rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}}|\d{{2}})(?:,?[T ] ?{_TIME}{_ZONE})?$", "num|$1|$3|$4|$5|$6|$7|$8|$9|$10"),
-    ("dmn", rf"^(?:[A-Za-z]{{3,9}},? +)?(\d{{1,2}})[ -]([A-Za-z]{{3,9}})\.?,?[ -](\d{{4}})(?:,? +{_TIME}{_ZONE})?$", "dmn|$1|$2|$3|$4|$5|$6|$7|$8|$9"),
-    ("mnd", rf"^(?:[A-Za-z]{{3,9}},? +)?([A-Za-z]{{3,9}})\.? +(\d{{1,2}})(?:st|nd|rd|th)?,? +(\d{{4}})(?:,? +{_TIME}{_ZONE})?$", "mnd|$1|$2|$3|$4|$5|$6|$7|$8|$9"),
-    ("epo", r"^(-?(?:\d{9,10}|\d{12,13}|\d{15,16}|\d{18,19}))$", "epo|$1||||||||"),
+    ("ymd", r"^\d{4}[-/.]", rf"^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}})(?:[T ] *{_TIME}{_ZONE})?$", "|ymd|$1|$3|$4|$5|$6|$7|$8|$9|$10"),
+    ("num", r"^\d{1,2}[-/.]\d", rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}}|\d{{2}})(?:,?[T ] *{_TIME}{_ZONE})?$", "|num|$1|$3|$4|$5|$6|$7|$8|$9|$10"),
+    ("cmp", r"^\d{8}", rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[T ]?(\d{{2}}):?(\d{{2}})(?::?(\d{{2}})(?:[.,](\d{{1,9}}))?)?{_ZONE})?$", "|cmp|$1|$2|$3|$4|$5|$6|$7||$8"),
+    ("dmn", r"^(?:[A-Za-z]{3,9},? +)?\d{1,2}[ -]", rf"^(?:[A-Za-z]{{3,9}},? +)?(\d{{1,2}})[ -]([A-Za-z]{{3,9}})\.?,?[ -](\d{{4}})(?:,? +{_TIME}{_ZONE})?$", "|dmn|$1|$2|$3|$4|$5|$6|$7|$8|$9"),
+    ("mnd", r"^[A-Za-z]", rf"^(?:[A-Za-z]{{3,9}},? +)?([A-Za-z]{{3,9}})\.? +(\d{{1,2}})(?:st|nd|rd|th)?,? +(\d{{4}})(?:,? +{_TIME}{_ZONE})?$", "|mnd|$1|$2|$3|$4|$5|$6|$7|$8|$9"),
 ]
+_EPOCH = r"^-?(?:\d{9,10}|\d{12,13}|\d{15,16}|\d{18,19})$"
+_CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 _DAY_US = 86_400_000_000
 
 
-def _int(c: Column) -> Column:
-    return F.when(c != "", c).cast("int")
-
-
 def _days(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970-01-01 of a valid Gregorian date, null of an invalid one; each part is used once, which keeps plans small."""
-    return F.unix_date(F.try_to_date(F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), m.cast("string"), F.lit("-"), d.cast("string")), "yyyy-M-d"))
+    """Days since 1970-01-01 of a valid Gregorian date, null of an invalid one."""
+    return F.unix_date(F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), m.cast("string"), F.lit("-"), d.cast("string")).try_cast("date"))
 
 
 def _shift(us: Column, zone: Column, back: bool = False) -> Column:
@@ -72,125 +75,140 @@ def iso_millis(us: Column) -> Column:
     )
 
 
-def _em(min_iter: int = 200, declared_weight: float = 0.9999, prior_rows: float = 1e6):
-    """One source's (mask, count, day_first) rows to posteriors of its masks; masks are few, so the group is small."""
+def _mixture(valid: np.ndarray, n: np.ndarray, towards: np.ndarray | None) -> np.ndarray:
+    """Weights of the formats by EM; with ``towards``, SHRINK of the rows are that mixture's."""
+    w = np.full(valid.shape[1], 1 / valid.shape[1])
+    if n.sum() <= 0:
+        return w if towards is None else towards
+    for _ in range(ROUNDS):
+        r = valid * w
+        r = r / np.maximum(r.sum(1, keepdims=True), 1e-300)
+        new = (r * n[:, None]).sum(0)
+        new /= max(new.sum(), 1e-300)
+        if towards is not None:
+            new = (1 - SHRINK) * new + SHRINK * towards
+        done = np.abs(new - w).max() < 1e-12
+        w = new
+        if done:
+            break
+    return w
+
+
+def _bits(masks: np.ndarray) -> np.ndarray:
+    return ((masks.astype(np.int64)[:, None] >> np.arange(len(INTERPRETATIONS))) & 1).astype(float)
+
+
+def fit_formats(counts: DataFrame) -> DataFrame:
+    """(__src, mask, __best, posterior) of every mask that is valid under several formats; counts has __src, mask, n.
+
+    The mixture of all sources comes from one row per mask (a mask has ten bits); each source is fitted in its own
+    task from one row per mask, so any number of sources is.
+    """
+    every = counts.groupBy("mask").agg(F.sum("n").alias("n")).filter("mask > 0").toPandas()  # at most 2 ** 10 rows
+    shared = _mixture(_bits(every["mask"].to_numpy()), every["n"].to_numpy(float), None)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = len(INTERPRETATIONS)
-        masks, n = pdf["mask"].to_numpy(np.int64), pdf["n"].to_numpy(float)
-        valid = (masks[:, None] >> np.arange(k)) & 1  # mask 0 is valid nowhere and has no weight
-        alpha = np.full(k, 1e-3)
-        declared = pdf["day_first"].iloc[0]
-        if declared is not None and declared == declared:
-            alpha[DMY], alpha[MDY] = (x * prior_rows for x in ((declared_weight, 1 - declared_weight) if declared else (1 - declared_weight, declared_weight)))
-        w = np.full(k, 1 / k)
-        for _ in range(min_iter):
-            r = valid * w
-            r = r / np.maximum(r.sum(1, keepdims=True), 1e-300)
-            new = (r * n[:, None]).sum(0) + alpha
-            new /= new.sum()
-            if np.abs(new - w).max() < 1e-12:
-                break
-            w = new
-        r = valid * w
+        masks = pdf["mask"].to_numpy()
+        valid = _bits(masks)
+        r = valid * _mixture(valid, pdf["n"].to_numpy(float), shared)
         r = r / np.maximum(r.sum(1, keepdims=True), 1e-300)
         best = r.argmax(1)
         out = pd.DataFrame({"__src": pdf["__src"], "mask": masks, "__best": best, "posterior": r[np.arange(len(best)), best]})
-        return out[masks > 0]
+        return out[valid.sum(1) > 1]
 
-    return fit
+    several = counts.filter("mask > 0").withColumn("__open", F.max(F.bit_count("mask") > 1).over(Window.partitionBy("__src"))).filter("__open")
+    return several.select("__src", "mask", "n").groupBy("__src").applyInPandas(fit, "__src string, mask int, __best int, posterior double")
+
+
+def _parse(d: DataFrame) -> DataFrame:
+    """Add the validity mask of ``__v`` and what each format makes of it: days, clock, epoch, offset or zone name."""
+    plain = F.when(F.col("__v").rlike(_CANONICAL), F.unix_micros(F.col("__v").try_cast("timestamp")))
+    d = d.withColumn("__plain", plain)
+    v = F.when(F.col("__plain").isNull(), F.col("__v"))
+    made = F.lit(None).cast("string")
+    for _, begins, pattern, parts in reversed(FAMILIES):
+        made = F.when(v.rlike(begins), F.regexp_replace(v, pattern, parts)).otherwise(made)
+    d = d.withColumns({"__p": F.when(made.startswith("|"), F.split(made, r"\|")), "__epoch": F.when(v.rlike(_EPOCH), v.try_cast("bigint"))})
+    p = lambda i: F.col("__p")[i]
+    n = lambda i: p(i).try_cast("int")
+    month = F.lower(F.substring(F.when(p(1) == "dmn", p(3)).when(p(1) == "mnd", p(2)), 1, 3))
+    clock_ok = F.when(p(5) == "", F.lit(True)).otherwise((n(6) <= 59) & F.coalesce(n(7) <= 59, F.lit(True)) & F.when(p(9) != "", n(5).between(1, 12)).otherwise(n(5) <= 23))
+    hour = F.when(F.lower(p(9)) == "p", n(5) % 12 + 12).when(F.lower(p(9)) == "a", n(5) % 12).otherwise(F.coalesce(n(5), F.lit(0)))
+    seconds = (hour * 60 + F.coalesce(n(6), F.lit(0))) * 60 + F.coalesce(n(7), F.lit(0))
+    micros = F.when(p(8) != "", F.substring(F.rpad(p(8), 6, "0"), 1, 6).cast("bigint")).otherwise(F.lit(0))
+    d = d.withColumns({
+        "__fam": p(1), "__a": n(2), "__b": n(3), "__c": F.when((p(1) == "num") & (F.length(p(4)) == 2), n(4) + F.when(n(4) < 70, 2000).otherwise(1900)).otherwise(n(4)),
+        "__mon": F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month), "__clock": F.when(clock_ok, seconds.cast("bigint") * 1_000_000 + micros), "__zt": F.when(p(10) != "", p(10)),
+    })
+    fam, a, b, c, mon = (F.col(x) for x in ("__fam", "__a", "__b", "__c", "__mon"))
+    free = lambda first: F.col("day_first").isNull() | (F.col("day_first") == first)
+    zone, hh, mm = F.col("__zt"), F.substring("__zt", 2, 2).try_cast("int"), F.substring("__zt", -2, 2).try_cast("int")
+    signed = F.substring(zone, 1, 1).isin("+", "-")
+    offset = F.when((hh <= 18) & ((F.length(zone) == 3) | (mm <= 59)), (hh * 3600 + F.when(F.length(zone) == 3, 0).otherwise(mm * 60)) * F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1))
+    short = F.create_map(*[F.lit(x) for k, h in ZONE_ABBREVIATIONS.items() for x in (k, int(h * 3600))])
+    known = sorted(z for z in available_timezones() if "/" in z and not z.startswith(("Etc/", "SystemV/")))
+    # one pair of days: under the first-part-is-day reading (or the only one), and under the month-first reading
+    first = F.when(fam.isin("ymd", "cmp"), _days(a, b, c)).when((fam == "num") & free(True), _days(c, b, a)).when(fam == "dmn", _days(c, mon, a)).when(fam == "mnd", _days(c, mon, b))
+    d = d.withColumns({
+        "__d1": F.when(F.col("__clock").isNotNull(), first), "__d2": F.when((fam == "num") & free(False) & F.col("__clock").isNotNull(), _days(c, a, b)),
+        "__off": F.when(signed, offset).otherwise(F.when(zone.isNotNull(), F.try_element_at(short, F.upper(zone)))), "__named": F.when(zone.contains("/") & zone.isin(known), zone),
+    })
+    digits = F.length(F.ltrim(F.col("__v"), F.lit("-")))
+    one = F.when(F.col("__plain").isNotNull(), BIT["iso"]).when(F.col("__d1").isNotNull(), F.coalesce(*[F.when(fam == k, BIT[x]) for k, x in (("ymd", "iso"), ("cmp", "compact"), ("num", "dmy"), ("dmn", "d_mon_y"), ("mnd", "mon_d_y"))])).otherwise(0)
+    two = F.when(F.col("__d2").isNotNull(), BIT["mdy"]).otherwise(0)
+    epoch = F.when(F.col("__epoch").isNull(), 0).when(digits <= 10, BIT["epoch_s"]).when(digits <= 13, BIT["epoch_ms"]).when(digits <= 16, BIT["epoch_us"]).otherwise(BIT["epoch_ns"])
+    d = d.withColumn("mask", (one + two + epoch).cast("int"))
+    return d.select("__row", "__src", "__zone", "__v", "__plain", "mask", "__d1", "__d2", "__clock", "__epoch", "__off", "__named", F.col("__zt").isNotNull().alias("__has_zone"))
 
 
 def normalise_timestamps(df: DataFrame, value: str, source: str, profiles: DataFrame, min_posterior: float = 0.9) -> DataFrame:
-    """Add (or replace) ``outcome`` (text), ``instant_us`` (bigint), ``interpretation`` and ``posterior`` for column ``value``.
+    """Add (or replace) ``outcome`` (text), ``instant_us`` (bigint), ``interpretation``, ``posterior`` and ``unresolved`` for column ``value``.
 
-    ``profiles`` has datasource, zone_name, day_first. Sources not in it share one undeclared mixture,
-    so the fitted table has at most (declared sources + 1) x masks rows.
+    ``profiles`` has datasource, zone_name, day_first; sources not in it have neither zone nor day order.
     """
-    prof = profiles.select(F.lower(strip("datasource")).alias("__src"), F.col("zone_name").alias("__zone"), F.col("day_first").alias("day_first"), F.lit(True).alias("__known")).dropDuplicates(["__src"])
+    prof = profiles.select(F.lower(strip("datasource")).alias("__src"), F.col("zone_name").alias("__zone"), F.col("day_first").alias("day_first")).dropDuplicates(["__src"])
     # the caller's columns travel as one struct, so none of their names can clash with those used here
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(value).alias("__value"), F.coalesce(F.lower(strip(source)), F.lit("")).alias("__src"))
-    d = dim_join(packed, prof, ["__src"]).withColumn("__src", F.when(F.col("__known"), F.col("__src")).otherwise(""))
-    d = d.withColumn("__v", F.when(holds("__value"), strip("__value")))
-    short = F.when(F.length("__v") <= 80, F.col("__v"))
-    d = d.withColumn("__p", F.coalesce(*[F.when(short.rlike(p), F.split(F.regexp_replace(short, p, r), r"\|")) for _, p, r in FAMILIES]))
-    p = lambda i: F.col("__p")[i]
-    fam = p(0)
-    month = F.when(fam == "dmn", p(2)).when(fam == "mnd", p(1))
-    month_no = F.coalesce(*[F.when(F.lower(F.substring(month, 1, 3)) == m, F.lit(i + 1)) for i, m in enumerate(MONTHS)])
-    nums = F.col("__p").isNotNull() & (fam != "epo")
-    n = lambda i: F.when(nums & p(i).rlike(r"^\d+$"), p(i)).cast("int")
-    hour, half = n(4), F.lower(p(8))
-    clock_ok = F.when(p(4) == "", F.lit(True)).otherwise((n(5) <= 59) & F.coalesce(n(6) <= 59, F.lit(True)) & F.when(half != "", hour.between(1, 12)).otherwise(hour <= 23))
-    hour24 = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
-    frac = F.when(nums & (p(7) != ""), F.rpad(p(7), 9, "0").cast("bigint")).otherwise(F.lit(0))
-    clock = ((F.coalesce(hour24, F.lit(0)) * 60 + F.coalesce(n(5), F.lit(0))) * 60 + F.coalesce(n(6), F.lit(0))).cast("bigint") * 1_000_000 + F.floor(frac / 1000)
-    year3 = F.when(F.length(p(3)) == 2, n(3) + F.when(n(3) < 70, 2000).otherwise(1900)).otherwise(n(3))
-    zone = p(9)
-    d = d.withColumns({"__mon": month_no, "__clock": F.when(clock_ok, clock)})
-    d = d.withColumns({
-        "__d_ymd": F.when(fam.isin("ymd", "cmp"), _days(n(1), n(2), n(3))),
-        "__d_dmy": F.when(fam == "num", _days(year3, n(2), n(1))).when(fam == "dmn", _days(n(3), F.col("__mon"), n(1))),
-        "__d_mdy": F.when(fam == "num", _days(year3, n(1), n(2))).when(fam == "mnd", _days(n(3), F.col("__mon"), n(2))),
-        "__epoch": F.when(fam == "epo", p(1).try_cast("bigint")),
-    })
-    digits = F.length(F.regexp_replace(p(1), "-", ""))
-    is_ = {
-        "iso": (fam == "ymd") & F.col("__d_ymd").isNotNull(), "compact": (fam == "cmp") & F.col("__d_ymd").isNotNull(),
-        "dmy": (fam == "num") & F.col("__d_dmy").isNotNull(), "mdy": (fam == "num") & F.col("__d_mdy").isNotNull(),
-        "d_mon_y": (fam == "dmn") & F.col("__d_dmy").isNotNull(), "mon_d_y": (fam == "mnd") & F.col("__d_mdy").isNotNull(),
-        "epoch_s": (fam == "epo") & digits.between(9, 10), "epoch_ms": (fam == "epo") & digits.between(12, 13),
-        "epoch_us": (fam == "epo") & digits.between(15, 16), "epoch_ns": (fam == "epo") & digits.between(18, 19) & F.col("__epoch").isNotNull(),
-    }
-    mask = sum((F.when(F.coalesce(is_[k], F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(INTERPRETATIONS)), F.lit(0))
-    d = d.withColumn("mask", F.when((fam == "epo") | F.col("__clock").isNotNull(), mask).otherwise(F.lit(0)).cast("int"))
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), strip(value).alias("__v"), F.coalesce(F.lower(strip(source)), F.lit("")).alias("__src"))
+    packed = packed.withColumn("__v", F.when(~F.lower("__v").isin(*NOTHING), F.col("__v")))
+    d = cut(_parse(dim_join(packed, prof, ["__src"])))
     # mixture weights from counts per (source, mask): aggregated before any row leaves its task
-    counts = d.groupBy("__src", "mask").agg(F.count("*").alias("n"), F.first("day_first", True).alias("day_first"))
-    post = counts.groupBy("__src").applyInPandas(_em(), "__src string, mask int, __best int, posterior double")
-    d = dim_join(d, post, ["__src", "mask"])
-    order = lambda name: F.col("__best") == INTERPRETATIONS.index(name)
-    day = F.when(fam.isin("ymd", "cmp"), F.col("__d_ymd")).when(fam == "dmn", F.col("__d_dmy")).when(fam == "mnd", F.col("__d_mdy")).when(order("dmy"), F.col("__d_dmy")).when(order("mdy"), F.col("__d_mdy"))
-    # a declared order is binding: the other order alone does not make a value readable
-    wrong = (fam == "num") & F.col("day_first").isNotNull() & (F.col("day_first") != order("dmy"))
-    zu = F.upper(zone)
-    abbr = F.coalesce(*[F.when(zu == k, F.lit(int(v * 3600))) for k, v in ZONE_ABBREVIATIONS.items()])
-    hh = F.when(zone.rlike(r"^[+-]\d{2}"), F.substring(zone, 2, 2)).cast("int")
-    mm = F.when(zone.rlike(r"^[+-]\d{2}:?\d{2}$"), F.substring(zone, -2, 2)).cast("int")
-    offset = F.when((hh <= 18) & F.coalesce(mm <= 59, F.lit(True)), (hh * 3600 + F.coalesce(mm, F.lit(0)) * 60) * F.when(zone.startswith("-"), -1).otherwise(1))
-    named = F.when(zone.contains("/") & zone.isin(sorted(z for z in available_timezones() if "/" in z and not z.startswith(("Etc/", "SystemV/")))), zone)
-    has_zone = F.coalesce(zone != "", F.lit(False)) & (fam != "epo")
-    d = d.withColumns({"__local": F.when(fam != "epo", day.cast("bigint") * _DAY_US + F.col("__clock")), "__off": F.when(has_zone, F.coalesce(abbr, offset)), "__tz": F.when(has_zone, named).otherwise(F.when(fam != "epo", F.col("__zone"))), "__wrong": F.coalesce(wrong, F.lit(False))})
+    counts = cut(d.filter("mask > 0").groupBy("__src", "mask").agg(F.count("*").alias("n")))
+    if counts.filter(F.bit_count("mask") > 1).limit(1).count():
+        d = dim_join(d, cut(fit_formats(counts)), ["__src", "mask"])
+    else:
+        d = d.withColumns({"__best": F.lit(None).cast("int"), "posterior": F.lit(None).cast("double")})
+    only = (F.bit_count("mask") == 1)
+    d = d.withColumns({"__best": F.when(only, F.log2("mask").cast("int")).otherwise(F.col("__best")), "posterior": F.when(only, 1.0).otherwise(F.col("posterior"))})
+    best = F.element_at(F.array(*[F.lit(k) for k in INTERPRETATIONS]), F.col("__best") + 1)
+    d = d.withColumn("interpretation", best)
+    epoch = F.col("interpretation").startswith("epoch")
+    day = F.when(F.col("interpretation") == "mdy", F.col("__d2")).otherwise(F.col("__d1"))
+    d = d.withColumns({"__local": F.when(~epoch, day.cast("bigint") * _DAY_US + F.col("__clock")), "__tz": F.when(epoch | F.col("__off").isNotNull() | F.col("__plain").isNotNull(), None).when(F.col("__has_zone"), F.col("__named")).otherwise(F.col("__zone"))})
     d = d.withColumn("__utc", F.when(F.col("__tz").isNotNull(), _shift(F.col("__local"), F.col("__tz"))))
-    fold = F.lit(False)
+    # the earlier of two instants is the one of the conversion: the clock shows the same time again 30, 60 or 120 minutes later
+    again = F.lit(False)
     for minutes in (30, 60, 120):
-        for sign in (-1, 1):
-            fold = fold | F.coalesce(_shift(F.col("__utc") + sign * minutes * 60_000_000, F.col("__tz"), True) == F.col("__local"), F.lit(False))
-    gap = _shift(F.col("__utc"), F.col("__tz"), True) != F.col("__local")
+        again = again | (_shift(F.col("__utc") + minutes * 60_000_000, F.col("__tz"), True) == F.col("__local"))
+    d = d.withColumns({"__fold": F.col("__utc").isNotNull() & again, "__gap": F.col("__utc").isNotNull() & (_shift(F.col("__utc"), F.col("__tz"), True) != F.col("__local"))})
     e = F.col("__epoch")
-    epoch_us = F.when(order("epoch_s"), e * 1_000_000).when(order("epoch_ms"), e * 1000).when(order("epoch_us"), e).when(order("epoch_ns"), F.floor(e / 1000))
-    d = d.withColumns({"__fold": F.col("__utc").isNotNull() & fold, "__gap": F.coalesce(gap, F.lit(False)), "__bad": (F.coalesce(F.col("mask"), F.lit(0)) == 0) | F.col("__wrong") | (has_zone & F.col("__off").isNull() & F.col("__tz").isNull())})
-    instant = F.when(fam == "epo", epoch_us).when(F.col("__off").isNotNull(), F.col("__local") - F.col("__off").cast("bigint") * 1_000_000).otherwise(F.col("__utc"))
-    no_zone = (fam != "epo") & F.col("__off").isNull() & F.col("__tz").isNull()
-    reason = (
-        F.when(F.col("__v").isNull(), F.lit(None).cast("string")).when(F.col("__bad"), "unreadable").when(no_zone, "no_zone")
-        .when(F.col("posterior") < min_posterior, "ambiguous_format").when(F.col("__off").isNull() & F.col("__gap"), "nonexistent").when(F.col("__off").isNull() & F.col("__fold"), "ambiguous")
-    )
-    d = d.withColumn("__reason", reason)
+    epoch_us = F.coalesce(*[F.when(F.col("interpretation") == k, x) for k, x in (("epoch_s", e * 1_000_000), ("epoch_ms", e * 1000), ("epoch_us", e), ("epoch_ns", F.floor(e / 1000)))])
+    instant = F.coalesce("__plain", F.when(epoch, epoch_us).when(F.col("__off").isNotNull(), F.col("__local") - F.col("__off").cast("bigint") * 1_000_000).otherwise(F.col("__utc")))
+    unknown_zone = ~epoch & F.col("__has_zone") & F.col("__off").isNull() & F.col("__named").isNull()
+    no_zone = ~epoch & F.col("__plain").isNull() & F.col("__off").isNull() & F.col("__tz").isNull()
+    unresolved = F.coalesce(F.col("posterior") < min_posterior, F.lit(False))
+    reason = F.when(F.col("__v").isNull(), F.lit(None).cast("string")).when((F.col("mask") == 0) | unknown_zone, "unreadable").when(no_zone, "no_zone").when(unresolved, "unreadable").when(F.col("__gap"), "nonexistent").when(F.col("__fold"), "ambiguous")
+    d = d.withColumns({"__reason": reason, "unresolved": unresolved})
     d = d.withColumn("instant_us", F.when(F.col("__v").isNotNull() & F.col("__reason").isNull(), instant))
-    out = {
-        "outcome": F.coalesce(F.col("__reason"), iso_millis(F.col("instant_us"))),
-        "interpretation": F.coalesce(*[F.when(order(k), F.lit(k)) for k in INTERPRETATIONS]),
-    }
-    results = ["outcome", "instant_us", "interpretation", "posterior"]
-    return d.withColumns(out).select(*[F.col("__row").getField(c).alias(c) for c in df.columns if c.lower() not in results], *results)
+    d = d.withColumn("outcome", F.coalesce(F.col("__reason"), iso_millis(F.col("instant_us"))))
+    results = ["outcome", "instant_us", "interpretation", "posterior", "unresolved"]
+    return d.select(*[F.col("__row").getField(c).alias(c) for c in df.columns if c.lower() not in results], *results)
 
 
 def is_canonical(c: Column | str) -> Column:
     """True for a text that already is a valid YYYY-MM-DDTHH:MM:SSZ."""
     c = F.col(c) if isinstance(c, str) else c
     shape = c.rlike(r"\A\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\dZ\z")
-    part = lambda a, n: F.when(shape, F.substring(c, a, n)).cast("int")
-    return F.coalesce(shape & _days(part(1, 4), part(6, 2), part(9, 2)).isNotNull(), F.lit(False))
+    return F.coalesce(shape & F.when(shape, F.substring(c, 1, 10).try_cast("date")).isNotNull(), F.lit(False))
 
 
 def timestamp_report(records: DataFrame, profiles_table: DataFrame, source_profiles: DataFrame) -> DataFrame:
@@ -201,5 +219,5 @@ def timestamp_report(records: DataFrame, profiles_table: DataFrame, source_profi
     rec = records.select("row_id", "datasource", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("sourcecreateddate", "sourcemodifieddate")])).alias("x"))
     rec = rec.select(F.lit("unified_records").alias("table_name"), "row_id", "x.field_name", "datasource", "x.value")
     pro = profiles_table.select(F.lit("profiles").alias("table_name"), "row_id", F.lit("metadata.created_at").alias("field_name"), F.col("metadata.source").alias("datasource"), F.col("metadata.created_at").alias("value"))
-    both = rec.unionByName(pro).filter(holds("value"))
-    return normalise_timestamps(both, "value", "datasource", source_profiles).filter(~is_canonical("value")).select("table_name", "row_id", "field_name", "outcome")
+    both = rec.unionByName(pro).filter(holds("value") & ~is_canonical("value"))
+    return normalise_timestamps(both, "value", "datasource", source_profiles).select("table_name", "row_id", "field_name", "outcome")

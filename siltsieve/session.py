@@ -56,17 +56,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Texts that hold nothing, in lower case and without outer blanks.
+NOTHING = ["", "null", "n/a"]
+
+
 def holds(c: Column | str) -> Column:
     """True where a text holds something: not null, blank, ``null`` or ``n/a`` in any case."""
-    c = F.col(c) if isinstance(c, str) else c
-    t = F.lower(strip(c))
-    return F.coalesce(~t.isin("", "null", "n/a"), F.lit(False))
+    return F.coalesce(~F.lower(strip(c)).isin(*NOTHING), F.lit(False))
 
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, tabs and line breaks included."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(" \t\n\x0b\f\r\u00a0"))
 
 
 def dim_join(big: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", bound: int = BROADCAST_ROWS) -> DataFrame:

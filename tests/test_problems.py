@@ -66,6 +66,26 @@ def test_timestamps_by_example(spark):
     assert {c[:2]: (g, c[2]) for c, g in zip(cases, got, strict=True) if g != c[2]} == {}
 
 
+def test_format_mixtures_depend_on_shares_only(spark):
+    bit = instants.BIT
+    both = bit["dmy"] | bit["mdy"]
+    some = [("a", both, 1000), ("a", bit["mdy"], 40), ("a", bit["dmy"], 10), ("b", both, 500), ("b", bit["dmy"], 60), ("c", both, 7), ("d", bit["iso"], 9), ("e", bit["compact"] | bit["epoch_ms"], 3), ("e", bit["compact"], 2)]
+    seen = []
+    for k in (1, 1000, 1_000_000):
+        df = spark.createDataFrame([(s, m, n * k) for s, m, n in some], "__src string, mask int, n bigint")
+        seen.append({(r[0], r[1]): (instants.INTERPRETATIONS[r[2]], round(r[3], 9)) for r in instants.fit_formats(df).collect()})
+    assert seen[0] == seen[1] == seen[2] and set(seen[0]) == {("a", both), ("b", both), ("c", both), ("e", bit["compact"] | bit["epoch_ms"])}
+    assert {k[0]: v[0] for k, v in seen[0].items()} == {"a": "mdy", "b": "dmy", "c": "dmy", "e": "compact"}
+    assert seen[0][("c", both)][1] < 0.9  # nothing of its own decides: it stays open
+
+
+def test_undeclared_sources_have_their_own_order(spark):
+    rows = [("us", "12/25/2020 10:00 UTC")] * 9 + [("us", "03/04/2020 10:00 UTC"), ("eu", "03/04/2020 10:00 UTC")] + [("eu", "25/12/2020 10:00 UTC")] * 9 + [("syd", "04/03/2020 10:00 UTC"), ("eu", "3 March 2020," + " " * 80 + "10:00 UTC"), ("us", "198001021530"), ("us", "946684800000")]
+    got = outcomes(spark, rows)
+    assert got[9] == "2020-03-04T10:00:00.000Z" and got[10] == "2020-04-03T10:00:00.000Z" and got[20:] == ["2020-03-04T10:00:00.000Z", "2020-03-03T10:00:00.000Z", "no_zone", "2000-01-01T00:00:00.000Z"]
+    assert outcomes(spark, [("x", "03/04/2020 10:00 UTC"), ("x", "03/04/2020 10:00")]) == ["unreadable", "no_zone"]
+
+
 def test_timestamps_against_zoneinfo(spark):
     rng = random.Random(3)
     cases = []
