@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from siltsieve.llm import matching, mixing, quality, survivors, tokenizer
 from siltsieve.session import cut, table
 
+#: Calling code of the mobiles in these tables.
+COUNTRY = "61"
+
 
 def _vocabulary() -> tuple[str, str]:
     """Path and pre-tokenising pattern of the default public vocabulary; the files stay outside the repository."""
@@ -25,7 +28,7 @@ def p2_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.survivors(table(spark, d, "unified_records"), table(spark, d, "source_profiles"))
+    return survivors.survivors(table(spark, d, "unified_records"), table(spark, d, "source_profiles"), COUNTRY)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +36,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.true_values(table(spark, d, "unified_records"), table(spark, d, "source_profiles"))
+    return survivors.true_values(table(spark, d, "unified_records"), table(spark, d, "source_profiles"), COUNTRY)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,8 @@ Method: a latent two-sided quality model. A fact is an (id, field, value); a sou
 any value for that id and field. Each source has per field a sensitivity and a false-claim rate, inferred by
 expectation-maximisation over counts of (covering sources, claiming sources) patterns, into which all facts
 are aggregated before anything is collected. Fields with several values keep each value judged true; the
-surviving record takes the value of highest posterior, then latest, then most trusted.
+surviving record takes the value of highest posterior, then latest, then most trusted. Facts also carry the merits
+of the rows that state them, so the row that is best in every respect comes from the same judged facts.
 
 Defined edge cases: rows whose id holds nothing belong to no group; ids compare trimmed in lower case; a
 group of one row survives as it is and has no best row; repeated rows count as rows but as one claim of
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltsieve.operators.instants import normalise_timestamps
-from siltsieve.session import BROADCAST_ROWS, cut, dim_join, holds, strip
+from siltsieve.session import BROADCAST_ROWS, NOTHING, cut, dim_join, holds, strip
 
 FIELDS = ["firstname", "lastname", "email", "mobile", "postcode"]
 MULTI = ["email", "mobile"]
+#: The field by which a row claims itself, and the instant of a row without one.
+ROW, NEVER = "", -(1 << 62)
 ROUNDS = 12
 #: Rows of one (id, field) beyond which its coverage is joined by broadcast instead of by shuffle.
 HOT_ROWS = 5_000
@@ -33,31 +36,44 @@ SENSITIVE, FALSE, TRUE_SHARE = (8.0, 4.0), (2.0, 10.0), 0.5
 
 
 def prepared(records: DataFrame, source_profiles: DataFrame) -> DataFrame:
-    """Rows with a usable id: gid, source, instant in ms, trust rank, completeness."""
-    d = normalise_timestamps(records.select("row_id", "id", "datasource", "sourcemodifieddate", *FIELDS).filter(holds("id")), "sourcemodifieddate", "datasource", source_profiles)
-    src = F.when(holds("datasource"), F.lower(strip("datasource"))).otherwise("")
-    d = d.withColumn("source", src).withColumn("gid", F.lower(strip("id"))).withColumn("ms", F.floor(F.col("instant_us") / 1000))
+    """Rows with a usable id: gid, source, instant in ms, trust rank, completeness. The dates are parsed once."""
+    d = records.select("row_id", F.lower(strip("id")).alias("gid"), "datasource", "sourcemodifieddate", *[F.when(holds(f), strip(f)).alias(f) for f in FIELDS])
+    d = normalise_timestamps(d.filter(~F.col("gid").isin(*NOTHING)), "sourcemodifieddate", "datasource", source_profiles)
+    src = F.coalesce(F.when(holds("datasource"), F.lower(strip("datasource"))), F.lit(""))
     rank = source_profiles.select(F.lower(strip("datasource")).alias("source"), F.col("trust_rank").cast("bigint").alias("trust_rank")).dropDuplicates(["source"])
-    d = dim_join(d, rank, ["source"])
-    full = sum((holds(f).cast("int") for f in FIELDS), F.lit(0))
+    d = dim_join(d.withColumn("source", src).withColumn("ms", F.floor(F.col("instant_us") / 1000)), rank, ["source"])
+    full = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
     return d.select("gid", "row_id", "source", "ms", "trust_rank", full.alias("filled"), *FIELDS)
 
 
-def claims(rows: DataFrame) -> DataFrame:
-    """(gid, source, field, value, shown, ms, trust_rank): what each row says, values made comparable."""
-    phone = F.regexp_replace(F.regexp_replace("mobile", "[^0-9]", ""), "^(?:0*61(?=[0-9]{9}$)|0+)", "")
+def claims(rows: DataFrame, country: str = "") -> DataFrame:
+    """(gid, source, field, value, shown, row): what each row says, values made comparable, and the row's own merits.
+
+    Each row also claims itself (the field ROW), so that rows which say nothing count in their group. ``country`` is
+    the calling code that mobiles may be written with or without.
+    """
+    digits = F.regexp_replace("mobile", "[^0-9]", "")
+    phone = F.regexp_replace(digits, f"^(?:0*{country}(?=[0-9]{{9}}$)|0+)", "") if country else F.ltrim(digits, F.lit("0"))
     same = {"mobile": phone, "email": F.lower(F.regexp_replace("email", r"\s", ""))}
-    each = [F.struct(F.lit(f).alias("field"), F.when(holds(f), same.get(f, F.lower(strip(f)))).alias("value"), strip(f).alias("shown")) for f in FIELDS]
-    return rows.select("gid", "source", "ms", "trust_rank", F.explode(F.array(*each)).alias("c")).select("gid", "source", "ms", "trust_rank", "c.*").filter(F.col("value").isNotNull())
+    each = [F.struct(F.lit(f).alias("field"), same.get(f, F.lower(f)).alias("value"), F.col(f).alias("shown")) for f in FIELDS]
+    itself = F.struct(F.lit(ROW).alias("field"), F.lit("").alias("value"), F.lit(None).cast("string").alias("shown"))
+    row = F.struct(F.col("filled").alias("filled"), F.coalesce("ms", F.lit(NEVER)).alias("ms"), (-F.coalesce("trust_rank", F.lit(1 << 40))).alias("trust"), (-F.col("row_id")).alias("neg_id"))
+    said = rows.select("gid", "source", row.alias("row"), F.explode(F.array(*each, itself)).alias("c"))
+    return said.select("gid", "source", "row", "c.*").filter(F.col("value").isNotNull())
 
 
 def facts(said: DataFrame) -> DataFrame:
-    """(gid, field, value) with the sources that claim it and those that cover the field."""
+    """(gid, field, value) with the sources that claim it, those that cover the field, and the merits of its rows.
+
+    All aggregates are mergeable before the shuffle: a hot id costs a task its distinct values, never its rows.
+    """
+    itself = lambda c: F.max(F.when(F.col("field") == ROW, F.col(c)))
     f = said.groupBy("gid", "field", "value").agg(
-        F.array_sort(F.collect_set("source")).alias("claiming"), F.max(F.struct(F.coalesce("ms", F.lit(-(1 << 62))).alias("ms"), (-F.coalesce("trust_rank", F.lit(1 << 40))).alias("trust"), "shown")).alias("latest")
+        F.array_sort(F.collect_set("source")).alias("claiming"), F.max(F.struct("row.ms", "row.trust", "shown")).alias("latest"), F.count("*").alias("n_rows"),
+        F.struct(*[itself(f"row.{x}").alias(x) for x in ("filled", "ms", "trust")], itself("row").alias("top")).alias("merits"),
     )
     f = cut(f)
-    cover = said.groupBy("gid", "field").agg(F.array_sort(F.collect_set("source")).alias("covering"))
+    cover = f.select("gid", "field", F.explode("claiming").alias("s")).groupBy("gid", "field").agg(F.array_sort(F.collect_set("s")).alias("covering"))
     hot = cut(f.groupBy("gid", "field").count().filter(F.col("count") > HOT_ROWS).select("gid", "field"))
     if hot.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return dim_join(f, cover, ["gid", "field"], "inner", bound=0)
@@ -104,10 +120,10 @@ def fit_quality(patterns: DataFrame, rounds: int = ROUNDS) -> dict[tuple[str, st
     return theta
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """Every fact with its posterior probability of being true."""
-    f = cut(facts(claims(rows)))
-    patterns = cut(f.groupBy("field", "covering", "claiming").agg(F.count("*").alias("n")))
+def judged(rows: DataFrame, country: str = "") -> DataFrame:
+    """Every fact with its posterior probability of being true; the facts of the field ROW are what they are."""
+    f = cut(facts(claims(rows, country)))
+    patterns = cut(f.filter(F.col("field") != ROW).groupBy("field", "covering", "claiming").agg(F.count("*").alias("n")))
     theta = fit_quality(patterns)
 
     @F.pandas_udf(T.DoubleType())
@@ -116,34 +132,26 @@ def judged(rows: DataFrame) -> DataFrame:
 
     p = patterns.select("field", "covering", "claiming", posterior("field", "covering", "claiming").alias("posterior"))
     if p.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return f.join(F.broadcast(p), ["field", "covering", "claiming"])
+        return f.join(F.broadcast(p), ["field", "covering", "claiming"], "left")
     return f.withColumn("posterior", posterior("field", "covering", "claiming"))
 
 
-def best_rows(rows: DataFrame) -> DataFrame:
-    """Per gid its row count and the row no other row beats on completeness, instant or trust.
-
-    Such a row has the maximum of all three, so it is the lexicographic maximum if there is one at all:
-    one aggregation with map-side combine, harmless for a hot id.
-    """
-    ms, trust = F.coalesce("ms", F.lit(-(1 << 62))), -F.coalesce("trust_rank", F.lit(1 << 40))
-    g = rows.groupBy("gid").agg(F.count("*").alias("n_rows"), F.max("filled").alias("a"), F.max(ms).alias("b"), F.max(trust).alias("c"), F.max(F.struct(F.col("filled").alias("a"), ms.alias("b"), trust.alias("c"), (-F.col("row_id")).alias("r"))).alias("top"))
-    whole = (F.col("top.a") == F.col("a")) & (F.col("top.b") == F.col("b")) & (F.col("top.c") == F.col("c")) & (F.col("n_rows") >= 2)
-    return g.select("gid", "n_rows", F.when(whole, -F.col("top.r")).alias("best_row_id"))
-
-
-def true_values(records: DataFrame, source_profiles: DataFrame, least: float = 0.5) -> DataFrame:
+def true_values(records: DataFrame, source_profiles: DataFrame, country: str = "", least: float = 0.5) -> DataFrame:
     """(id, field, value, posterior) of every value judged true in the fields that may have several."""
-    f = judged(cut(prepared(records, source_profiles)))
+    f = judged(prepared(records, source_profiles), country)
     return f.filter(F.col("field").isin(MULTI) & (F.col("posterior") >= least)).select(F.col("gid").alias("id"), "field", "value", "posterior")
 
 
-def survivors(records: DataFrame, source_profiles: DataFrame) -> DataFrame:
-    """One row per id: surviving values with posteriors, number of true e-mails and mobiles, n_rows, best_row_id."""
-    rows = cut(prepared(records, source_profiles))
-    f = judged(rows)
+def survivors(records: DataFrame, source_profiles: DataFrame, country: str = "") -> DataFrame:
+    """One row per id: surviving values with posteriors, number of true e-mails and mobiles, n_rows, best_row_id.
+
+    All of it is one aggregation of the judged facts. ``best_row_id`` is the row no other row beats on completeness,
+    instant or trust: it has the maximum of all three, so it is the lexicographic maximum of the group if there is one.
+    """
+    f = judged(prepared(records, source_profiles), country)
     best = lambda x: F.max(F.when(F.col("field") == x, F.struct("posterior", "latest.ms", "latest.trust", F.col("latest.shown").alias("shown"))))
     many = lambda x: F.sum(F.when((F.col("field") == x) & (F.col("posterior") >= 0.5), 1).otherwise(0))
-    g = f.groupBy("gid").agg(*[best(x).alias(x) for x in FIELDS], *[many(x).alias(f"n_{x}") for x in MULTI])
-    wide = g.select("gid", *[F.col(f"{x}.shown").alias(x) for x in FIELDS], *[F.round(f"{x}.posterior", 6).alias(f"p_{x}") for x in FIELDS], *[f"n_{x}" for x in MULTI])
-    return best_rows(rows).join(wide, "gid", "left").withColumnRenamed("gid", "id")
+    merits = [F.max(f"merits.{x}").alias(f"__{x}") for x in ("filled", "ms", "trust", "top")]
+    g = f.groupBy("gid").agg(*[best(x).alias(x) for x in FIELDS], *[many(x).alias(f"n_{x}") for x in MULTI], F.max(F.when(F.col("field") == ROW, F.col("n_rows"))).alias("n_rows"), *merits)
+    whole = (F.col("n_rows") >= 2) & (F.col("__top.filled") == F.col("__filled")) & (F.col("__top.ms") == F.col("__ms")) & (F.col("__top.trust") == F.col("__trust"))
+    return g.select(F.col("gid").alias("id"), *[F.col(f"{x}.shown").alias(x) for x in FIELDS], *[F.round(f"{x}.posterior", 6).alias(f"p_{x}") for x in FIELDS], *[f"n_{x}" for x in MULTI], "n_rows", F.when(whole, -F.col("__top.neg_id")).alias("best_row_id"))

@@ -168,6 +168,7 @@ def test_best_row_and_survivor(spark):
         want[g] = min(best) if best and len(x) > 1 else None
     assert {g: r["best_row_id"] for g, r in out.items()} == want
     assert all(r["firstname"] in ("Ann", None) for r in out.values())
+    assert {g: r["n_rows"] for g, r in out.items()} == {g: len(x) for g, x in groups.items()}
     assert survivors.survivors(spark.createDataFrame([], cols), prof).count() == 0
 
 
@@ -187,7 +188,8 @@ def test_quality_model_recovers_sources(spark):
 
 def test_hot_group_ways_agree(spark, monkeypatch):
     said = [("hot" if i % 3 else f"g{i % 50}", f"s{i % 4}", "email", f"v{i % 400}", f"V{i % 400}", i, 1) for i in range(3000)]
-    df = spark.createDataFrame(said, "gid string, source string, field string, value string, shown string, ms bigint, trust_rank bigint")
+    df = spark.createDataFrame(said, "gid string, source string, field string, value string, shown string, ms bigint, trust bigint")
+    df = df.withColumn("row", F.struct(F.lit(1).alias("filled"), "ms", "trust", F.col("ms").alias("neg_id")))
     a = sorted(map(str, survivors.facts(df).collect()))
     monkeypatch.setattr(survivors, "HOT_ROWS", 5)
     b = sorted(str(r) for r in survivors.facts(df).select("gid", "field", "value", "claiming", "latest", "covering").collect())
