@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_matches(spark: SparkSession, d: str) -> DataFrame:
-    return matching.matched_ids(table(spark, d, "unified_records"), table(spark, d, "unified_partner"))
+    return matching.matched_ids(table(spark, d, "unified_records"), table(spark, d, "unified_partner"), COUNTRY)
 
 
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:

@@ -239,15 +239,35 @@ def test_third_id(spark):
     assert {tuple(sorted(k)): v for k, v in out.items()} == {("c", "u"): None, ("c", "e"): None, ("e", "u"): "c"}
 
 
-def test_large_blocks_lose_nothing(spark, monkeypatch):
-    rows = [(s, f"{s}{i}", f"Nam{chr(97 + i % 20)}o", f"Last{i % 7}", "shared@mail.example", None, "1000") for s in ("club", "event") for i in range(40)]
-    prof = matching.profiles(spark.createDataFrame(rows, PEOPLE))
-    pairs = lambda: {tuple(r) for r in matching.candidates(prof).collect()}
-    whole = pairs()
-    monkeypatch.setattr(matching, "BLOCK_CAP", 3)
-    split = pairs()
-    firsts = {(f"club{i}", f"event{j}") for i in range(40) for j in range(40) if i % 20 == j % 20}
-    assert firsts <= {(a, b) for _, a, _, b in split} and split <= whole
+def compared(spark, rows):
+    prof, members = matching.classes(matching.profiles(spark.createDataFrame(rows, PEOPLE)))
+    pairs = matching.compare(matching.candidates(prof), prof).filter("x is not null").select("src_a", "id_a", "src_b", "id_b")
+    return {(r["id_a"], r["id_b"]) for r in matching.expand(pairs, members).collect()}
+
+
+def test_block_size_decides_nothing(spark, monkeypatch):
+    names = [(None, None), ("Ann", None), (None, "Lee")] + [(f"Nam{chr(97 + i % 20)}o", f"Last{i % 7}") for i in range(37)]
+    rows = [(s, f"{s}{i}", *n, "shared@mail.example", f"05{i * 7919 % 10**8:08d}" if i % 2 else None, "1000" if i % 3 else None) for s in ("club", "event") for i, n in enumerate(names)]
+    whole = compared(spark, rows)
+    monkeypatch.setattr(matching, "HOT_IDS", 3)
+    assert compared(spark, rows) == whole
+    post, phone = (lambda i: i % 3 > 0), (lambda i: i % 2 > 0)
+    letters = [matching._letters(([], [], *[[matching.fold(x)] if x else [] for x in n])) for n in names]
+    want = {(f"club{i}", f"event{j}") for i in range(40) for j in range(40) if post(i) and post(j) or letters[i] & letters[j] or i == j and phone(i)}
+    assert whole == want and ("club0", "event0") not in whole and ("club1", "event1") in whole
+
+
+def test_copies_and_crowds(spark):
+    p = people(1)[0]
+    rows = [(s, f"{s}{i}", *p) for s in ("club", "event") for i in range(70)]
+    rows += [("unified", "one", p[0], p[1] + "x" * (i % 15), p[2], p[3], p[4]) for i in range(60)]  # misspelt often, still one person
+    rows += [("unified", "all", f"F{i}", f"L{i}", f"a{i}@mail.example", f"05{i:08d}", p[4]) for i in range(5)] + [("club", "last", "F3", "L3", "a3@mail.example", "0500000003", p[4])]
+    got = {tuple(sorted((r["id_a"], r["id_b"]))) for r in matching.match_records(spark.createDataFrame(rows, PEOPLE)).collect()}
+    ids = [f"{s}{i}" for s in ("club", "event") for i in range(70)]
+    assert got == {tuple(sorted((a, b))) for a in ids for b in ids if a[0] < b[0]} | {tuple(sorted((a, "one"))) for a in ids}
+
+
+def test_names_share_outer_letters():
     rng = random.Random(6)
     for _ in range(3000):
         a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in "ab")
@@ -270,24 +290,41 @@ def test_near_contacts_are_always_compared(spark):
     assert {(a + str(i), b + str(i)) for i in range(150) for a, b in ("ce", "mn")} <= pairs
 
 
-def test_contact_keys_against_similarities():
+def test_contact_keys_against_similarities(spark):
     rng = random.Random(11)
-    near = 0
-    for _ in range(6000):
+    emails, mobiles = set(), set()
+    for _ in range(120):
         a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 11)))
         b = list(a)
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, 2)):
             k = rng.randrange(len(b) + 1)
             b[k : k + rng.randint(0, 2)] = rng.choice(["", "a", "b", "cc"])
-        a, b = a + "@x.example", "".join(b) + rng.choice(["@x.example", "@y.exmple"])
-        m, n = (str(rng.randrange(10 ** rng.randint(6, 8), 10**9)) for _ in "ab")
-        n = rng.choice([n, m[-7:], m[1:], m[:3] + m[4:], m[:2] + m[3] + m[2] + m[4:]])
-        for kind, x, y, similar in (("e", a, b, matching.email_similarity), ("m", m, n, matching.mobile_similarity)):
-            if similar(x, y) >= matching.NEAR:
-                near += 1
-                keys = [matching.contact_keys([v], []) if kind == "e" else matching.contact_keys([], [v]) for v in (x, y)]
-                assert keys[0] & keys[1], (x, y)
-    assert near > 4000
+        emails |= {a + "@xx.example", "".join(b) + rng.choice(["@xx.example", "@x.exmple", "@other.test"])}
+        m = str(rng.randrange(10 ** rng.randint(6, 8), 10**9))
+        mobiles |= {x for x in (m, m[-7:], m[1:], m[:3] + m[4:], m[:2] + m[3] + m[2] + m[4:]) if len(x) >= 7}
+    values = spark.createDataFrame([("email", v) for v in emails] + [("mobile", v) for v in mobiles], "kind string, value string")
+    got = {tuple(r) for r in matching.near_values(values).collect()}
+    want = {(k, a, b) for k, f, vs in (("email", matching.email_similarity, emails), ("mobile", matching.mobile_similarity, mobiles)) for a in vs for b in vs if a != b and f(a, b) >= matching.CLOSE}
+    assert got == want and len(want) > 300
+
+
+def test_two_edits_are_found_by_bands(spark):
+    rng, rows = random.Random(3), []
+    for i, (f, l, e, m, p) in enumerate(people(200)):
+        k = rng.randrange(1, 6)
+        rows += [("club", f"c{i}", f, l, e, None, p), ("event", f"e{i}", f, l, e[:k] + "q" + e[k + 1 : k + 6] + e[k + 7 :], None, p)]
+    got = compared(spark, rows)
+    assert len({(f"c{i}", f"e{i}") for i in range(200)} & got) >= 190
+
+
+def test_calibration(spark):
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 9)).round(3)
+    x[:, 5] = 0
+    x[:1000, [0, 1, 2, 3]], x[1000:, 2], x[1000:, 0] = 1.0, 0.0, 1.0
+    df = spark.createDataFrame([(f"a{i}", f"b{i}", r.tolist()) for i, r in enumerate(x)], "id_a string, id_b string, x array<double>")
+    out = {r["bin"]: r for r in matching.calibration(df, matching.train(df)).collect()}
+    assert sum(r["n"] for r in out.values()) == 2000 and out[9]["share_same"] > 0.95 and out[0]["share_same"] < 0.05
 
 
 def test_similarities():
