@@ -80,7 +80,7 @@ def test_format_mixtures_depend_on_shares_only(spark):
 
 
 def test_undeclared_sources_have_their_own_order(spark):
-    rows = [("us", "12/25/2020 10:00 UTC")] * 9 + [("us", "03/04/2020 10:00 UTC"), ("eu", "03/04/2020 10:00 UTC")] + [("eu", "25/12/2020 10:00 UTC")] * 9 + [("syd", "04/03/2020 10:00 UTC"), ("eu", "3 March 2020," + " " * 80 + "10:00 UTC"), ("us", "198001021530"), ("us", "946684800000")]
+    rows = [("us", "12/25/2020 10:00 UTC")] * 9 + [("us", "03/04/2020 10:00 UTC"), ("eu", "03/04/2020 10:00 UTC")] + [("eu", "25/12/2020 10:00 UTC")] * 9 + [("syd", "04/03/2020 10:00 UTC"), ("eu", "3 March 2020," + " " * 80 + "10:00 UTC"), ("mainframe", "198001021530"), ("phone", "946684800000")]
     got = outcomes(spark, rows)
     assert got[9] == "2020-03-04T10:00:00.000Z" and got[10] == "2020-04-03T10:00:00.000Z" and got[20:] == ["2020-03-04T10:00:00.000Z", "2020-03-03T10:00:00.000Z", "no_zone", "2000-01-01T00:00:00.000Z"]
     assert outcomes(spark, [("x", "03/04/2020 10:00 UTC"), ("x", "03/04/2020 10:00")]) == ["unreadable", "no_zone"]
