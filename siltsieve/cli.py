@@ -71,12 +71,12 @@ def main(argv: list[str] | None = None, spark: object | None = None) -> int:
             print("nothing to check", file=sys.stderr)
             return 2
         guard(a.log_path)
-        job = Analysis(a.key, a.check_key, a.check_row, a.validate, adv.hashing, adv.include, adv.exclude, adv.targets, adv.rules)
+        job = Analysis(a.key, a.check_key, a.check_row, a.validate, adv.hashing, adv.include, adv.exclude, adv.algorithm, adv.normalise, adv.targets, adv.rules)
         tables: dict = {}
         out = X.run_analysis(spark, a.path, job, a.xml_record_path, a.json_mode, tables)
         if adv.schema.enabled:
             s = X.schema_report(spark, a.path, adv.schema.sample_percent, adv.schema.max_samples, adv.schema.max_depth, adv.schema.group_by_folder, a.xml_record_path, adv.schema.seed)
-            out["schemaReport"] = [r.asDict() for r in s.orderBy("path").limit(100_000).collect()]
+            out["schemaReport"] = [r.asDict() for r in s.orderBy("path").collect()]
         if adv.targets or adv.schema.enabled:
             X.write_artifacts(out, a.log_path, out.get("schemaReport"), tuple(adv.schema.output_formats), tables)
         if a.output_json or a.output_txt or any(n > MAX_GROUPS for _, n in tables.values()):

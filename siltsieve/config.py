@@ -29,7 +29,7 @@ class Advanced:
     hashing: str = "full_row"
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
-    algorithm: str = "fnv"
+    algorithm: str = "sha256"
     normalise: bool = False
     schema: SchemaDiscovery = field(default_factory=SchemaDiscovery)
 
@@ -64,10 +64,12 @@ def advanced(conf: dict) -> Advanced:
     mode = h.get("mode", "full_row")
     if mode not in ("full_row", "selective", "exclude_keys"):
         raise ValueError(f"unknown hashing mode {mode!r}")
+    if (h.get("algorithm") or "sha256") not in ("sha256", "md5", "fnv"):
+        raise ValueError(f"unknown hash algorithm {h['algorithm']!r}")
     if (mode == "selective" and not h.get("includeKeys")) or (mode == "exclude_keys" and not h.get("excludeKeys")):
         raise ValueError(f"hashing mode {mode} needs keys")
     schema = SchemaDiscovery(bool(s.get("enabled", False)), float(s.get("samplePercent", 0.1)), int(s.get("maxDepth", 10)), int(s.get("maxSamples", 100_000)), list(s.get("outputFormats", ["json"])), bool(s.get("groupByFolder", False)))
-    return Advanced(targets, rules, mode, list(h.get("includeKeys", [])), list(h.get("excludeKeys", [])), h.get("algorithm", "fnv"), bool(h.get("normalize", False)), schema)
+    return Advanced(targets, rules, mode, list(h.get("includeKeys", [])), list(h.get("excludeKeys", [])), h.get("algorithm") or "sha256", bool(h.get("normalize", False)), schema)
 
 
 def mappings(conf: dict) -> list[Mapping]:

@@ -74,6 +74,12 @@ def folder_rollup(df: DataFrame, folder: str, key: str, row_text: str) -> DataFr
     return out.fillna(0, ["duplicate_ids", "duplicate_rows"])
 
 
+def folder_files(df: DataFrame, folder: str, file: str) -> DataFrame:
+    """Rows, files with rows, and rows per such file of each folder."""
+    n = df.groupBy(folder, file).agg(F.count("*").alias("n"))
+    return n.groupBy(folder).agg(F.sum("n").alias("rows_processed"), F.count(file).alias("files_processed")).withColumn("rows_per_file", F.col("rows_processed") / F.col("files_processed"))
+
+
 def survivors(df: DataFrame, key: str, strategy: str, order: list[str], newest: str | None = None, score: Column | None = None) -> DataFrame:
     """One row per key: first or last in ``order``, newest or oldest by a time column, or most_complete by score."""
     asc, desc = [F.col(c).asc() for c in order], [F.col(c).desc() for c in order]
@@ -100,6 +106,13 @@ def semantic_text(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\x0B\f\r]+", " "))
 
 
+def dedup_summary(df: DataFrame, key: str, strategy: str) -> DataFrame:
+    """Keys, keys with duplicates, rows, and rows kept and purged when each key keeps one row, in one pass over key counts."""
+    n = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    out = n.agg(F.count("*").alias("total_keys"), F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_rows"))
+    return out.select("*", F.col("total_keys").alias("kept_rows"), (F.col("total_rows") - F.col("total_keys")).alias("purged_rows"), F.lit(strategy).alias("strategy"))
+
+
 def hash_metrics(df: DataFrame, hashed: Column) -> DataFrame:
     n = df.groupBy(hashed.alias("h")).agg(F.count("*").alias("n"))
     return n.agg(F.sum("n").alias("total_rows"), F.count("*").alias("unique_hashes"), F.count_if(F.col("n") > 1).alias("collided")).select("*", (1 - F.col("unique_hashes") / F.col("total_rows")).alias("collision_rate"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltsieve.functions import jsontext as J
+
 #: Distinct values are counted exactly up to here; reports cap there.
 UNIQUE_CAP = 10_000
 EXAMPLES = 5
@@ -19,57 +25,101 @@ def type_of(dtype: T.DataType) -> str:
 
 def _statistics(long: DataFrame, by: list[str], total: F.Column) -> DataFrame:
     # one shuffle on (group, path, value) makes distinct counts exact and mergeable
-    v = long.groupBy(*by, "path", "value", "json_type").agg(F.count("*").alias("n"))
+    v = long.groupBy(*by, "path", "value", "json_type", "element_type").agg(F.count("*").alias("n"))
+    lattice = lambda c: F.when(F.count_distinct(c) <= 1, F.min(c)).otherwise("mixed")
     g = v.groupBy(*by, "path").agg(
-        F.sum("n").alias("occurrences"), F.count_if(F.col("json_type") == "null").alias("__nulls"),
-        F.least(F.count_distinct("value"), F.lit(UNIQUE_CAP)).alias("unique_values"),
-        F.when(F.count_distinct("json_type") == 1, F.min("json_type")).otherwise("mixed").alias("type"),
-        F.min(F.octet_length("value")).alias("min_length"), F.max(F.octet_length("value")).alias("max_length"), F.min("value").alias("example"),
+        F.sum("n").alias("occurrences"), F.count_if(F.col("json_type") == "null").alias("__nulls"), F.least(F.count_distinct("value"), F.lit(UNIQUE_CAP)).alias("unique_values"),
+        lattice("json_type").alias("type"), lattice("element_type").alias("element_type"), F.min(F.octet_length("value")).alias("min_length"), F.max(F.octet_length("value")).alias("max_length"),
     )
-    return g.withColumn("nullable", F.col("__nulls") > 0).drop("__nulls").withColumn("percentage", F.col("occurrences") * 100.0 / total)
+    # the smallest values: ranks are cut before the shuffle, so a path of any number of values sends EXAMPLES a task
+    rank = F.row_number().over(Window.partitionBy(*by, "path").orderBy("value"))
+    values = v.filter("value is not null").select(*by, "path", "value").distinct().withColumn("__r", rank).filter(F.col("__r") <= EXAMPLES)
+    shown = values.groupBy(*by, "path").agg(F.array_sort(F.collect_list("value")).alias("examples")).select(*[F.col(c).alias(f"__{c}") for c in [*by, "path"]], "examples")
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, "path"]])
+    g = g.join(shown, same, "left").drop(*[f"__{c}" for c in [*by, "path"]])
+    out = g.withColumn("examples", F.coalesce("examples", F.array().cast("array<string>"))).withColumn("example", F.try_element_at("examples", F.lit(1)))
+    return out.withColumn("nullable", F.col("__nulls") > 0).drop("__nulls").withColumn("percentage", F.col("occurrences") * 100.0 / total)
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column of a typed table."""
     cols = columns or df.columns
     kinds = {f.name: type_of(f.dataType) for f in df.schema.fields}
-    each = F.array(*[F.struct(F.lit(c).alias("path"), F.col(c).cast("string").alias("value"), F.when(F.col(c).isNull(), "null").otherwise(kinds[c]).alias("json_type")) for c in cols])
+    elements = {f.name: type_of(f.dataType.elementType) if isinstance(f.dataType, T.ArrayType) else None for f in df.schema.fields}
+    each = F.array(*[F.struct(F.lit(c).alias("path"), F.col(c).cast("string").alias("value"), F.when(F.col(c).isNull(), "null").otherwise(kinds[c]).alias("json_type"), F.lit(elements[c]).alias("element_type")) for c in cols])
     long = df.select(F.explode(each).alias("x")).select("x.*")
     total = df.agg(F.count("*").alias("__total"))
     return _statistics(long.join(F.broadcast(total)), ["__total"], F.col("__total")).drop("__total")
 
 
 def json_cells(df: DataFrame, text: str, keep: list[str] | None = None, max_depth: int = 10) -> DataFrame:
-    """(kept columns, path, value, json_type) of every field of a JSON text column, natively, level by level.
+    """(kept columns, path, value, json_type, element_type) of every field of a JSON text column in one pass over the texts.
 
-    Elements of an array share the path of the array with ``[]``; levels end at ``max_depth``.
+    Elements of an array share the path of the array with ``[]``; ``element_type`` is the type of the first element of a
+    non-empty array; levels end at ``max_depth``. A text that is no JSON object has no fields.
     """
     keep = keep or []
-    level = df.select(*keep, F.lit("").alias("p"), F.try_parse_json(F.col(text)).alias("v"))
-    out = None
-    for _ in range(max_depth):
-        level.createOrReplaceTempView("__level")
-        kept = "".join(f"l.`{k}`, " for k in keep)
-        node = df.sparkSession.sql(f"""
-            SELECT {kept} CASE WHEN e.key IS NULL THEN concat(l.p, '[]') WHEN l.p = '' THEN e.key ELSE concat(l.p, '.', e.key) END AS p, e.value AS v, e.key AS k
-            FROM __level l, LATERAL variant_explode(l.v) e""")
-        kind = F.schema_of_variant("v")
-        name = F.when(F.is_variant_null("v"), "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
-        node = node.withColumn("json_type", name)
-        cells = node.filter("k is not null").select(*keep, F.col("p").alias("path"), F.when(F.col("json_type").isin("array", "object"), F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string")).alias("value"), "json_type")
-        out = cells if out is None else out.unionByName(cells)
-        level = node.filter("json_type in ('array', 'object')").select(*keep, "p", "v")
-        if max_depth > 1 and not level.limit(1).count():
-            break
-    return out
-
-
-def profile_json(df: DataFrame, text: str, by: list[str] | None = None, max_depth: int = 10) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at: list[int] = []
+            cols: list[list] = [[], [], [], []]
+            for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                try:
+                    o = J.parse(t or "")
+                except ValueError:
+                    continue
+                for cell in _cells(o, "", max_depth):
+                    at.append(i)
+                    for c, x in zip(cols, cell, strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))], *[pa.array(c, pa.string()) for c in cols]], names=[*keep, "path", "value", "json_type", "element_type"])
+
+    d = df.select(*keep, F.col(text).cast("string").alias("__text"))
+    return d.mapInArrow(run, T.StructType([*d.schema.fields[:-1], *[T.StructField(n, T.StringType()) for n in ("path", "value", "json_type", "element_type")]]))
+
+
+def _cells(o: object, prefix: str, depth: int) -> Iterator[tuple[str, str | None, str, str | None]]:
+    if not isinstance(o, dict) or depth <= 0:
+        return
+    for k, v in o.items():
+        path = f"{prefix}.{k}" if prefix else k
+        text = None if v is None else J.scalar_text(v)
+        yield path.encode("utf-8", "replace").decode(), text if text is None else text.encode("utf-8", "replace").decode(), J.type_name(v), J.type_name(v[0]) if isinstance(v, list) and v else None
+        if isinstance(v, dict):
+            yield from _cells(v, path, depth - 1)
+        elif isinstance(v, list):
+            for x in v:
+                yield from _cells(x, path + "[]", depth - 1)
+
+
+def profile_json(df: DataFrame, text: str, by: list[str] | None = None, max_depth: int = 10, overall: bool = False) -> DataFrame:
+    """Field profiles of a JSON text column by the columns ``by``; with ``overall`` also those of all rows, whose ``by`` are null.
+
+    ``percentage`` is of the rows of the group and may exceed 100 inside arrays.
+    """
     by = by or []
-    total = df.groupBy(*by).agg(F.count("*").alias("__total"))
     cells = json_cells(df, text, by, max_depth)
-    d = cells.join(F.broadcast(total)) if not by else cells.join(total, by)
-    return _statistics(d, [*by, "__total"], F.col("__total")).drop("__total")
+    total = df.groupBy(*by).agg(F.count("*").alias("__total"))
+    if by and overall:
+        # both groupings from one pass: each cell counts in its group and in the whole
+        total = df.rollup(*by).agg(F.count("*").alias("__total"), F.grouping_id().alias("__g")).filter(F.col("__g").isin(0, 2 ** len(by) - 1))
+        whole = F.struct(F.lit(2 ** len(by) - 1).cast("bigint").alias("__g"), *[F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in by])
+        own = F.struct(F.lit(0).cast("bigint").alias("__g"), *by)
+        cells = cells.select(F.explode(F.array(own, whole)).alias("x"), "path", "value", "json_type", "element_type").select("x.*", "path", "value", "json_type", "element_type")
+        by = ["__g", *by]
+    if not by:
+        d = cells.join(F.broadcast(total))
+    else:
+        t = total.select(*[F.col(c).alias(f"__t_{c}") for c in by], "__total")
+        d = cells.join(t, functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in by])).drop(*[f"__t_{c}" for c in by])
+    return _statistics(d, [*by, "__total"], F.col("__total")).drop("__total", "__g")
+
+
+def sample_rate(sampled: DataFrame, every: DataFrame) -> DataFrame:
+    """sampled_rows, total_rows and their ratio."""
+    n = sampled.agg(F.count("*").alias("sampled_rows")).join(F.broadcast(every.agg(F.count("*").alias("total_rows"))))
+    return n.withColumn("sample_rate", F.when(F.col("total_rows") > 0, F.col("sampled_rows") / F.col("total_rows")).otherwise(0.0))
 
 
 def profile_groups(df: DataFrame, column: str, folder: str) -> DataFrame:

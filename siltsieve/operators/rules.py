@@ -52,8 +52,8 @@ def matches_of(o: dict, t: Target) -> list[tuple[str, str, str]]:
         spots = level
     else:
         spots = find(o, parse_path(t.path))
-    fold = (lambda s: s) if t.case_sensitive else str.lower
-    return [(p, J.text_of(v), want) for p, v in spots for want in t.values if fold(J.text_of(v)) == fold(want)]
+    texts = [(p, J.text_of(v)) for p, v in spots]
+    return [(p, text, want) for p, text in texts for want in t.by_text.get(t.fold(text), ())]
 
 
 def apply_rules(df: DataFrame, targets: list[Target], rules: list[Rule], raw: str = "raw") -> DataFrame:
@@ -116,6 +116,12 @@ def rule_statistics(applied: DataFrame) -> DataFrame:
     return applied.agg(F.count("*").alias("total_rows"), F.sum(has("delete_row")).alias("deleted_rows"), F.sum(has("delete_matches", "mark_for_deletion", "delete_sub_key")).alias("modified_rows"), F.sum(F.size("matches")).cast("bigint").alias("matches"), F.sum(F.col("malformed").cast("bigint")).alias("errors"))
 
 
+def batch_report(applied: DataFrame, by: str = "source_path") -> DataFrame:
+    """The statistics of a deletion run for each input of a batch."""
+    has = lambda *a: F.exists("actions", lambda x: x["action"].isin(*a)).cast("bigint")
+    return applied.groupBy(by).agg(F.count("*").alias("total_rows"), F.sum(has("delete_row")).alias("deleted_rows"), F.sum(has("delete_matches", "mark_for_deletion", "delete_sub_key")).alias("modified_rows"), F.sum(F.size("matches")).cast("bigint").alias("matches"), F.sum(F.col("malformed").cast("bigint")).alias("errors"))
+
+
 def rule_output(applied: DataFrame, rule: str, action: str) -> DataFrame:
     """The derived artefact of one rule: every record it acted on."""
     return applied.select("*", F.explode("actions").alias("a")).filter((F.col("a.rule") == rule) & (F.col("a.action") == action)).select(*[c for c in ("source_path", "line_number") if c in applied.columns], "a.action", "a.rule", "a.record", "matches")

@@ -46,7 +46,7 @@ def dup_rows(s: SparkSession, d: str) -> DataFrame:
 GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus HAVING count(*) > 1)""")
 def dup_rows_exclude(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "lineitem")
-    g = dedupe.duplicate_groups(t, [dedupe.canonical_row(t, "exclude_keys", exclude=["l_shipdate"]).alias("r")], "n")
+    g = dedupe.duplicate_groups(t, [dedupe.row_hash(dedupe.canonical_row(t, "exclude_keys", exclude=["l_shipdate"])).alias("r")], "n")
     return g.agg(F.sum("n").alias("instances"), F.count("*").alias("n_groups"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from siltsieve.functions import jsontext as J
 from siltsieve.operators import rules as R
+from siltsieve.operators.dedupe import row_hash
 from siltsieve.operators.search import Target
 from siltsieve.session import cut
 
@@ -36,11 +37,14 @@ class Analysis:
     hashing: str = "full_row"
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
+    #: sha256, md5 or fnv; ``normalise`` compares texts in lower case with blanks collapsed
+    algorithm: str = "sha256"
+    normalise: bool = False
     targets: list[Target] = field(default_factory=list)
     rules: list[R.Rule] = field(default_factory=list)
 
 
-def _facts(key: str, hashing: str, include: list[str], exclude: list[str]):
+def _facts(key: str, hashing: str, include: list[str], exclude: list[str], normalise: bool = False):
     """Key text (null if absent) and canonical row of a record's JSON."""
 
     def one(data: str | None) -> tuple[str | None, str | None]:
@@ -52,7 +56,7 @@ def _facts(key: str, hashing: str, include: list[str], exclude: list[str]):
             o = {x: o[x] for x in include if x in o}
         elif hashing == "exclude_keys":
             o = {x: v for x, v in o.items() if x not in exclude}
-        return k, J.dump(o, sort=True)
+        return k, J.dump(J.normalise_semantic(o) if normalise else o, sort=True)
 
     @F.pandas_udf(T.StructType([T.StructField("key", T.StringType()), T.StructField("row", T.StringType())]))
     def udf(s):
@@ -90,8 +94,8 @@ def analyse(records: DataFrame, sources: list, job: Analysis, tables: dict[str,
             s = R.rule_statistics(applied).first()
             deletion = {"totalRows": s["total_rows"], "processedRows": s["total_rows"], "deletedRows": s["deleted_rows"] or 0, "modifiedRows": s["modified_rows"] or 0, "matchesByTarget": search["matchesByTarget"], "errors": s["errors"] or 0}
         ok = applied.withColumn("data", F.col("new_raw"))
-    f = _facts(job.key, job.hashing, job.include, job.exclude)("data")
-    rows = cut(ok.select("source_path", "folder", "file_size", "line_number", f.alias("f")).select("source_path", "folder", "file_size", "line_number", F.col("f.key").alias("key"), F.when(F.lit(job.check_row and not job.validate_only), F.sha2("f.row", 256)).alias("hash")))
+    f = _facts(job.key, job.hashing, job.include, job.exclude, job.normalise)("data")
+    rows = cut(ok.select("source_path", "folder", "file_size", "line_number", f.alias("f")).select("source_path", "folder", "file_size", "line_number", F.col("f.key").alias("key"), F.when(F.lit(job.check_row and not job.validate_only), row_hash(F.col("f.row"), job.algorithm)).alias("hash")))
     folders = rows.groupBy("folder").agg(F.count("*").alias("rows"), F.count("key").alias("keys"), F.count_distinct("source_path").alias("files")).collect()
     per = {r["folder"]: r for r in folders}
 

@@ -8,6 +8,7 @@ import json
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from typing import IO
@@ -25,13 +26,13 @@ class WriteRefused(PermissionError):
 
 
 def guard(paths: Iterable[str], approved_root: str | None, trusted: bool = False) -> None:
-    """Refuse targets outside the approved root; links are resolved first."""
-    if trusted or approved_root is None:
+    """Refuse targets outside the approved root, without one outside the working folder; links are resolved first."""
+    if trusted:
         return
-    root = os.path.realpath(approved_root)
+    root = os.path.realpath(approved_root or os.getcwd())
     for p in paths:
         if p and os.path.commonpath([root, os.path.realpath(p)]) != root:
-            raise WriteRefused(f"{p} lies outside {approved_root}")
+            raise WriteRefused(f"{p} lies outside {root}; name an approved output root")
 
 
 def contained(base: str, relative: str) -> str:
@@ -75,7 +76,7 @@ def write_table(df: DataFrame, path: str, fmt: str, by: tuple[str, ...] = ()) ->
     """Distributed output: a folder of part files, for results of any size, in subfolders by the columns ``by``."""
     w = df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         w.option("ignoreNullFields", False).json(path)
 
@@ -139,6 +140,19 @@ def write_text(text: str, path: str) -> None:
         f.write(text)
 
 
+def write_lines(lines: Iterable[str], path: str) -> None:
+    with staged(path) as f:
+        f.writelines(x + "\n" for x in lines)
+
+
+def keep_newest(folder: str, prefix: str, most: int) -> list[str]:
+    """Remove all but the newest ``most`` files of a history whose names sort by time; returns the removed."""
+    old = sorted((n for n in os.listdir(folder) if n.startswith(prefix)), reverse=True)[most:]
+    for n in old:
+        os.unlink(os.path.join(folder, n))
+    return sorted(old)
+
+
 def write_rows_csv(header: list[str], rows: Iterable[Iterable[object]], path: str) -> None:
     with staged(path) as f:
         out = csv.writer(f, lineterminator="\n")
@@ -156,19 +170,30 @@ def to_yaml(value: object, depth: int = 0) -> str:
     return f"{pad}{json.dumps(value, ensure_ascii=False)}\n"
 
 
-def backup(path: str, backup_dir: str, stamp: str | None = None) -> str:
-    """A copy of a file under backup_dir/<stamp>/local/<absolute path>."""
-    stamp = stamp or datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S.%fZ")
-    target = contained(os.path.join(backup_dir, stamp, "local"), os.path.abspath(path))
+def run_stamp() -> str:
+    """The name of one run's backups."""
+    return datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S.%fZ")
+
+
+def backup_path(path: str, backup_dir: str, stamp: str) -> str:
+    return contained(os.path.join(backup_dir, stamp, "local"), os.path.abspath(path))
+
+
+def backup(path: str, backup_dir: str, stamp: str) -> str:
+    """A copy of a file under backup_dir/<stamp of the run>/local/<absolute path>, made once: a second attempt keeps the first copy."""
+    target = backup_path(path, backup_dir, stamp)
     os.makedirs(os.path.dirname(target), exist_ok=True)
-    shutil.copy2(path, target)
+    if not os.path.exists(target):
+        tmp = f"{target}.{uuid.uuid4().hex}"
+        shutil.copy2(path, tmp)
+        os.replace(tmp, target)
     return target
 
 
 def store_purged(entries: Iterable[dict], source_path: str, directory: str, reason: str, details: dict | None = None) -> tuple[str, int]:
     """Removed rows with their location and reason, as a JSON array or lines by the source's extension, with a metadata file."""
     now = datetime.datetime.now(datetime.timezone.utc).isoformat()
-    path = os.path.join(directory, suffixed(os.path.basename(source_path), f"_{reason}"))
+    path = contained(directory, suffixed(os.path.abspath(source_path), f"_{reason}"))  # files of one name in two folders stay apart
     array = source_path.lower().endswith(".json")
     n = 0
     with staged(path) as f:

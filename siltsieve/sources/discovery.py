@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass
 
 #: Extensions by use, and names by which a format may be given.
@@ -47,7 +48,7 @@ def discover(paths: str | list[str], formats: tuple[str, ...] = ANALYSIS_FORMATS
     wanted = [p.strip() for p in (paths.split(",") if isinstance(paths, str) else paths)]
     found: dict[str, Source] = {}
     for p in [x for x in wanted if x]:
-        for s in _remote(spark, p, formats) if is_remote(p) else _local(p.removeprefix("file://"), formats):
+        for s in _remote(spark, p, formats) if is_remote(p) else _local(re.sub("^file:/+", "/", p), formats):
             found.setdefault(s.path, s)
     if not found:
         raise FileNotFoundError(f"no input files in {paths!r}")

@@ -107,10 +107,8 @@ def record_value(e: Element, whole: bool) -> dict:
 
 
 def replace(e: Element, value: dict) -> None:
-    """Give an element new contents; attributes and children that stay keep their place, new ones follow sorted."""
+    """Give an element new contents; attributes, texts and children that stay keep their place, new ones follow sorted."""
     e.attributes = {k: _text(value[f"@{k}"]) for k in e.attributes if f"@{k}" in value} | {k[1:]: _text(value[k]) for k in sorted(value) if k.startswith("@") and k[1:] not in e.attributes}
-    if "#content" in value:
-        return
     kept: list = []
     seen: dict[str, int] = {}
     for x in e.content:

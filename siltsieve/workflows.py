@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import functools
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from siltsieve.functions import jsontext as J
 from siltsieve.operators import ingest, profile, purge
 from siltsieve.operators import rules as R
 from siltsieve.operators.rewrite import Rewrite, apply_to, counters, rewrite_lines
+from siltsieve.session import cut
 from siltsieve.sinks import writers as W
 from siltsieve.sources import xmlio
 from siltsieve.sources.discovery import JSON_FORMATS, REWRITE_FORMATS, Source, discover
@@ -43,12 +45,15 @@ def write_tables(tables: dict, folder: str) -> list[str]:
 
 
 def schema_report(spark: SparkSession, paths: str, fraction: float = 0.1, max_samples: int = 100_000, max_depth: int = 10, by_folder: bool = False, xml_path: str = "", seed: int = 17) -> DataFrame:
-    """Field profile of a seeded sample of the records, globally or by folder."""
+    """Field profile of a seeded sample of the records, of all together (folder null) and, if wanted, by folder."""
     rows = read_records(spark, paths, xml_path=xml_path).filter("data is not null").select("folder", "data")
-    return profile.profile_json(profile.sampled(rows, fraction, seed, max_samples), "data", ["folder"] if by_folder else [], max_depth)
+    some = profile.sampled(rows, fraction, seed, max_samples)
+    some = some if fraction >= 1 and not max_samples else cut(some)
+    rate = profile.sample_rate(some, rows).select("sample_rate")
+    return profile.profile_json(some, "data", ["folder"] if by_folder else [], max_depth, overall=True).join(F.broadcast(rate))
 
 
-SCHEMA_COLUMNS = ["path", "type", "occurrences", "percentage", "nullable", "unique_values", "min_length", "max_length", "example"]
+SCHEMA_COLUMNS = ["path", "type", "element_type", "occurrences", "percentage", "nullable", "unique_values", "min_length", "max_length", "examples", "sample_rate"]
 
 
 def write_rule_outputs(spark: SparkSession, paths: str, job: reporting.Analysis, xml_path: str = "") -> dict[str, str]:
@@ -88,10 +93,12 @@ def write_artifacts(report: dict, folder: str, schema: list[dict] | None = None,
         for t in names:
             safe = "".join(c if c.isalnum() or c in "-_" else "_" for c in t)
             put(f"search_target_{safe}.json", lambda p, t=t: W.write_json_list(of(t), p))
+        put("search_results.txt", lambda p: W.write_lines((f"{t}: {m['Path']} = {m['MatchedValue']} at {m['Location']['filePath']}:{m['Location']['lineNumber']}" for t in names for m in of(t)), p))
         rows = ((t, m["Path"], m["MatchedValue"], m["Location"]["filePath"], m["Location"]["lineNumber"]) for t in names for m in of(t))
         put("search_results.csv", lambda p: W.write_rows_csv(["target", "path", "matched_value", "file_path", "line_number"], rows, p))
     if (d := report.get("deletionStats")) is not None:
         put("deletion_stats.json", lambda p: W.write_json(d, p))
+        put("deletion_stats.csv", lambda p: W.write_rows_csv(["metric", "value"], [x for k, v in d.items() for x in ([(f"{k}.{t}", n) for t, n in v.items()] if isinstance(v, dict) else [(k, v)])], p))
         put("deletion_summary.txt", lambda p: W.write_text("".join(f"{k}: {v}\n" for k, v in d.items()), p))
     if schema is not None:
         scope = lambda r: r.get("folder") or "global"
@@ -99,7 +106,9 @@ def write_artifacts(report: dict, folder: str, schema: list[dict] | None = None,
         if "json" in formats:
             put("schema_report.json", lambda p: W.write_json(ordered, p))
         if "csv" in formats:
-            put("schema_report.csv", lambda p: W.write_rows_csv(["scope", *SCHEMA_COLUMNS], [[scope(r), *[r.get(c) for c in SCHEMA_COLUMNS]] for r in ordered], p))
+            cells = lambda r: ["; ".join(v) if isinstance(v := r.get(c), list) else v for c in SCHEMA_COLUMNS]
+            put("schema_report.csv", lambda p: W.write_rows_csv(["scope", *SCHEMA_COLUMNS], [[scope(r), *cells(r)] for r in ordered], p))
+            put("schema_paths.csv", lambda p: W.write_rows_csv(SCHEMA_COLUMNS, [[f"{scope(r)}:{r['path']}", *cells(r)[1:]] for r in ordered], p))
         if "yaml" in formats:
             put("schema_report.yaml", lambda p: W.write_text(W.to_yaml(ordered), p))
     return out
@@ -144,12 +153,14 @@ def run_ingest(spark: SparkSession, paths: str, mappings: list[ingest.Mapping],
     return summary
 
 
-def _rewrite_json(path: str, job: Rewrite, apply: bool, backup_dir: str) -> dict:
-    """One line file, streamed: memory does not grow with the file."""
+def _rewrite_json(path: str, job: Rewrite, apply: bool, backup_dir: str, stamp: str) -> dict:
+    """One line file, streamed: memory does not grow with the file. A repeated attempt starts from the run's backup."""
+    source = W.backup_path(path, backup_dir, stamp) if apply else path
+    source = source if os.path.exists(source) else path
     c = {"source_path": path, "lines_read": 0, "lines_deleted": 0, "lines_modified": 0, "lines_updated": 0, "errors": 0}
 
     def lines() -> Iterator[str]:
-        with open(path, encoding="utf-8", newline="") as f:
+        with open(source, encoding="utf-8", newline="") as f:
             for line in f:
                 line = line.rstrip("\r\n")
                 if not line.strip():
@@ -181,7 +192,7 @@ def _rewrite_json(path: str, job: Rewrite, apply: bool, backup_dir: str) -> dict
                 out.write(line + "\n")
             if not changed():
                 raise _Unchanged
-            W.backup(path, backup_dir)
+            W.backup(path, backup_dir, stamp)
     except _Unchanged:
         pass
     return c
@@ -191,8 +202,9 @@ class _Unchanged(Exception):
     pass
 
 
-def _rewrite_xml(path: str, job: Rewrite, apply: bool, backup_dir: str, record_path: str) -> dict:
-    with open(path, encoding="utf-8-sig") as f:
+def _rewrite_xml(path: str, job: Rewrite, apply: bool, backup_dir: str, stamp: str, record_path: str) -> dict:
+    source = W.backup_path(path, backup_dir, stamp) if apply else path
+    with open(source if os.path.exists(source) else path, encoding="utf-8-sig") as f:
         root = xmlio.parse(f.read())
     c = {"source_path": path, "lines_read": 0, "lines_deleted": 0, "lines_modified": 0, "lines_updated": 0, "errors": 0}
     for e, parent in reversed(xmlio.records(root, record_path)):
@@ -209,7 +221,7 @@ def _rewrite_xml(path: str, job: Rewrite, apply: bool, backup_dir: str, record_p
         elif modified or updated:
             xmlio.replace(e, v)
     if apply and c["lines_deleted"] + c["lines_modified"] + c["lines_updated"]:
-        W.backup(path, backup_dir)
+        W.backup(path, backup_dir, stamp)
         W.write_text(xmlio.serialise(root), path)
     return c
 
@@ -226,10 +238,11 @@ def run_rewrite(spark: SparkSession, paths: str, job: Rewrite, mode: str = "prev
     if mode == "preview" and all(s.format in JSON_FORMATS for s in sources):
         rows = [r.asDict() for r in counters(rewrite_lines(read_lines(spark, [s.path for s in sources]), job)).collect()]
     else:
+        stamp = W.run_stamp()
 
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                out = [_rewrite_xml(p, job, mode == "apply", backup_dir, xml_path) if p.lower().endswith(".xml") else _rewrite_json(p, job, mode == "apply", backup_dir) for p in pdf["path"]]
+                out = [_rewrite_xml(p, job, mode == "apply", backup_dir, stamp, xml_path) if p.lower().endswith(".xml") else _rewrite_json(p, job, mode == "apply", backup_dir, stamp) for p in pdf["path"]]
                 yield pd.DataFrame(out)
 
         schema = "source_path string, lines_read bigint, lines_deleted bigint, lines_modified bigint, lines_updated bigint, errors bigint"
@@ -245,23 +258,35 @@ def run_purge(spark: SparkSession, paths: str, key: str, by: str = "id", keep: s
     rec = read_records(spark, sources).filter("data is not null")
     f = reporting._facts(key, "full_row", [], [])("data")
     rows = rec.select("source_path", "line_number", f.alias("f")).select("source_path", "line_number", F.col("f.key" if by == "id" else "f.row").alias("k"))
-    doomed = purge.surplus(rows, "k", keep)
-    removed = 0
-    # lines to remove are gathered file by file; a file's list is as long as its own surplus
-    by_file = doomed.groupBy("source_path").agg(F.collect_list("line_number").alias("lines"))
-    for r in by_file.toLocalIterator():
-        path, lines = r["source_path"], set(r["lines"])
-        W.backup(path, backup_dir)
-        gone = []
-        with open(path, encoding="utf-8", newline="") as src, W.staged(path) as out:
-            for n, line in enumerate(src, 1):
-                if n in lines:
-                    gone.append({"row": _plain(line), "line": n})
-                elif line.strip():
-                    out.write(line if line.endswith("\n") else line + "\n")
-        W.store_purged(gone, path, purged_dir, "id_purged" if by == "id" else "row_purged", {"key": key})
-        removed += len(gone)
-    return {"rowsRemoved": removed}
+    doomed = purge.surplus(rows, "k", keep).repartition("source_path").sortWithinPartitions("source_path", "line_number")
+    stamp, reason = W.run_stamp(), "id_purged" if by == "id" else "row_purged"
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines = ((p, n) for pdf in frames for p, n in zip(pdf["source_path"], pdf["line_number"], strict=True))
+        for path, own in itertools.groupby(lines, key=lambda x: x[0]):
+            yield pd.DataFrame([(path, _purge_file(path, (n for _, n in own), purged_dir, backup_dir, stamp, reason, key))], columns=["source_path", "removed"])
+
+    # a file is rewritten by one task; its lines to remove arrive in order and are never held together
+    done = doomed.mapInPandas(work, "source_path string, removed bigint").agg(F.coalesce(F.sum("removed"), F.lit(0)).alias("n")).first()
+    return {"rowsRemoved": done["n"]}
+
+
+def _purge_file(path: str, doomed: Iterator[int], purged_dir: str, backup_dir: str, stamp: str, reason: str, key: str) -> int:
+    """Rewrite one line file without the lines ``doomed`` (ascending); a repeated attempt starts from the run's backup."""
+    source = W.backup(path, backup_dir, stamp)
+    with W.staged(path) as out:
+
+        def gone() -> Iterator[dict]:
+            wanted = next(doomed, None)
+            with open(source, encoding="utf-8", newline="") as src:
+                for n, line in enumerate(src, 1):
+                    if n == wanted:
+                        yield {"row": _plain(line), "line": n}
+                        wanted = next(doomed, None)
+                    elif line.strip():
+                        out.write(line if line.endswith("\n") else line + "\n")
+
+        return W.store_purged(gone(), path, purged_dir, reason, {"key": key})[1]
 
 
 def _plain(line: str) -> object:

@@ -132,6 +132,54 @@ def test_rewrite(spark, tmp_path):
         workflows.run_rewrite(spark, str(f), job, "apply")
 
 
+def test_rewrite_survives_a_second_attempt(tmp_path):
+    f = put(tmp_path / "o.jsonl", '{"id":"a"}\n{"id":"c"}\n')
+    job = Rewrite("id", frozenset(["c"]))
+    first, second = (workflows._rewrite_json(str(f), job, True, str(tmp_path / "bak"), "run") for _ in range(2))
+    assert first == second and f.read_text() == '{"id":"a"}\n'
+    g = put(tmp_path / "p.jsonl", "".join(f'{{"n":{i}}}\n' for i in range(5)))
+    for _ in range(2):
+        assert workflows._purge_file(str(g), iter([2, 4]), str(tmp_path / "gone"), str(tmp_path / "bak"), "run", "id_purged", "n") == 2
+    assert g.read_text() == '{"n":0}\n{"n":2}\n{"n":4}\n'
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    lines = ["" if i % 7 == 3 else json.dumps({"i": i, "pad": "x" * (i % 50)}) for i in range(1, 6000)]
+    d = tmp_path / "in"
+    d.mkdir()
+    put(d / "a.jsonl", "\n".join(lines))
+    put(d / "b.ndjson", "\ufeff" + "\r\n".join(lines[:100]) + "\r\n")
+    put(d / "c.json", "{}\n" + '{"a":"' + "y" * 5000 + '"}\n[1]\n{"a":1\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = read_records(spark, str(d), max_line=2000)
+        assert df.rdd.getNumPartitions() > 10
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, n in (("a.jsonl", 5999), ("b.ndjson", 100)):
+        own = {r["line_number"]: json.loads(r["data"])["i"] for r in rows if r["source_path"].endswith(name)}
+        assert own == {i: i for i in range(1, n + 1) if i % 7 != 3}
+    c = {r["line_number"]: (r["data"], r["decode_error"]) for r in rows if r["source_path"].endswith("c.json")}
+    assert c[1] == ("{}", None) and c[2] == (None, "line longer than 2000 bytes") and c[3] == (None, "not a JSON object") and c[4][0] is None and c[4][1]
+
+
+def test_equal_header_names_keep_their_columns():
+    rows = list(decode("csv", b"a,a,,a_2\n1,2,3,4\n"))
+    assert json.loads(rows[0][2]) == {"a": "1", "a_2": "2", "column_3": "3", "a_2_2": "4"}
+
+
+def test_rewrite_xml_with_mixed_content(spark, tmp_path):
+    f = put(tmp_path / "m.xml", "<r><o>before <v>old</v> between <v>old</v> after<id>a</id></o></r>")
+    job = Rewrite(update_key="v", update_old_value="old", update_new_value="new")
+    f.write_text(f.read_text().replace("<v>old</v> after", "<v><w>x</w></v> after").replace("<v>old</v> between", "<v><v>old</v></v> between"))
+    out = workflows.run_rewrite(spark, str(f), job, "apply", str(tmp_path / "bak"), "r.o")
+    assert out["lines_updated"] == 1 and "<v>new</v>" in f.read_text() and "old" not in f.read_text()
+    text = f.read_text()
+    assert text.index("before") < text.index("<v>new</v>") < text.index("between") < text.index("<w>x</w>") < text.index("after") < text.index("<id>a</id>")
+
+
 def test_rewrite_xml(spark, tmp_path):
     f = put(tmp_path / "o.xml", "<os>\n  <o n='1'><id>a</id><items><i><k>1</k></i><i><k>2</k></i></items></o>\n  <o><id>c</id></o>\n</os>")
     job = Rewrite("id", frozenset(["c"]), "items", "k", frozenset(["1"]))
@@ -147,13 +195,15 @@ def test_purge_and_restore(spark, tmp_path):
     f = put(tmp_path / "p.jsonl", '{"id":"a","v":1}\n{"id":"b"}\n{"id":"a","v":2}\n')
     out = workflows.run_purge(spark, str(f), "id", purged_dir=str(tmp_path / "gone"), backup_dir=str(tmp_path / "bak"))
     assert out == {"rowsRemoved": 1} and len(f.read_text().splitlines()) == 2
-    back = writers.restore_purged(str(tmp_path / "gone" / "p_id_purged.jsonl"))
+    back = writers.restore_purged(str(tmp_path / "gone" / str(tmp_path)[1:] / "p_id_purged.jsonl"))
     assert back[0]["originalRow"] == {"id": "a", "v": 2} and back[0]["location"]["lineNumber"] == 3
 
 
 def test_guards_and_discovery(tmp_path):
     with pytest.raises(writers.WriteRefused):
         writers.guard([str(tmp_path / "x")], str(tmp_path / "root"))
+    with pytest.raises(writers.WriteRefused):
+        writers.guard([str(tmp_path / "x")], None)  # without a root the working folder is it
     with pytest.raises(writers.WriteRefused):
         writers.contained(str(tmp_path), "../x")
     with pytest.raises(FileNotFoundError):
@@ -169,11 +219,11 @@ def test_guards_and_discovery(tmp_path):
 
 
 def test_command_line(spark, folder, tmp_path, capsys):
-    assert main(["--path", str(folder / "c.jsonl"), "--output", "json", "--output.json", "--log-path", str(tmp_path / "logs")], spark) == 0
+    assert main(["--path", str(folder / "c.jsonl"), "--output", "json", "--output.json", "--log-path", str(tmp_path / "logs"), "--approved-output-root", str(tmp_path)], spark) == 0
     assert json.loads(capsys.readouterr().out)["summary"]["uniqueKeysDuplicated"] == 1
     assert (tmp_path / "logs" / "report.json").exists()
     put(tmp_path / "m.json", json.dumps({"files": [{"match": {"glob": "*.csv"}, "columns": {"id": "Id"}}]}))
-    assert main(["ingest", "--path", str(folder), "--mapping-file", str(tmp_path / "m.json"), "--output-path", str(tmp_path / "o.ndjson")], spark) == 0
+    assert main(["ingest", "--path", str(folder), "--mapping-file", str(tmp_path / "m.json"), "--output-path", str(tmp_path / "o.ndjson"), "--approved-output-root", str(tmp_path)], spark) == 0
     assert len((tmp_path / "o.ndjson").read_text().splitlines()) == 3
     assert main(["rewrite", "--path", str(folder / "c.jsonl"), "--top-level-key", "id", "--top-level-vals", "4"], spark) == 0
     assert '"lines_deleted": 2' in capsys.readouterr().out
@@ -188,10 +238,10 @@ def test_artifacts(spark, folder, tmp_path, capsys):
     }}
     put(tmp_path / "conf.json", json.dumps(conf))
     logs = tmp_path / "logs"
-    assert main(["--path", str(folder / "c.jsonl"), "--config", str(tmp_path / "conf.json"), "--log-path", str(logs)], spark) == 0
+    assert main(["--path", str(folder / "c.jsonl"), "--config", str(tmp_path / "conf.json"), "--log-path", str(logs), "--approved-output-root", str(tmp_path)], spark) == 0
     assert "Search matches: 2" in capsys.readouterr().out
     names = {p.name for p in logs.iterdir()}
-    assert names == {"search_results.json", "search_target_four.json", "search_results.csv", "deletion_stats.json", "deletion_summary.txt", "schema_report.json", "schema_report.csv", "schema_report.yaml"}
+    assert names == {"search_results.json", "search_target_four.json", "search_results.csv", "search_results.txt", "deletion_stats.csv", "schema_paths.csv", "deletion_stats.json", "deletion_summary.txt", "schema_report.json", "schema_report.csv", "schema_report.yaml"}
     assert (logs / "search_results.csv").read_text().splitlines()[1].startswith("four,id,4,")
     assert [r["path"] for r in json.loads((logs / "schema_report.json").read_text())] == ["id", "n"]
     marked = [json.loads(x) for f in (tmp_path / "marked").glob("*.json") for x in f.read_text().splitlines()]
