@@ -105,6 +105,20 @@ CASES = [
 ]
 
 
+def test_every_kind_has_a_reason():
+    for text, want in CASES:
+        stats, judged = quality.both(text, KNOWN)
+        n = quality.char_counts([text or ""])
+        judged |= {"letter_ratio": n[1][0] / max(1, n[4][0]), "symbol_ratio": n[3][0] / max(1, n[4][0])}
+        kind, failed = quality.judge(judged)
+        assert failed or kind is None, (text, kind)
+
+
+def test_long_tags_are_taken_off():
+    tag = '<a title="' + "x" * 5000 + '">'
+    assert quality.text_lines(tag + PROSE + "</a>") == [PROSE] and quality.text_lines("[url=" + "y" * 900 + "]" + PROSE + "[/url]") == [PROSE]
+
+
 def test_kinds_by_example():
     for text, want in CASES:
         s = quality.analyse(text, KNOWN)
