@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,7 +52,8 @@ _HEX = re.compile(r"(?<!\S)(?:0x)?[0-9a-fA-F]{2,}(?!\S)")
 #: what a token of code holds, found in whole lines: each match reaches to the end of its token
 _CODE = re.compile(r"(?:0x[0-9a-fA-F]+|\d{1,2}:\d{2}:\d{2}|(?<!\S)\[?\d{4,}[.\]]|[A-Za-z]\w*(?:[._:/=$#]+\w+)+[(=:]|\w+\([^)\s]*[:.,]|\w=[^\s=]|(?<!\S)[\w.-]*/[\w./-]+/|[{}<>;](?!\S)|(?<!\S)[{}<>]|\w+::\w+|\w+->\w+|(?<!\S)\w+(?:\.\w+){2,})\S*")
 _MAYBE_CODE = re.compile(r"0x|[{}<>;]|\w[._:/=$#(-]+[^\s.]|/[\w./-]|(?<!\S)\[?\d{4,}[.\]]")
-_LONG = re.compile(r"\S{29,}")
+_DIGIT = re.compile(r"[0-9]")
+_ASCII_LETTERS = string.ascii_letters.encode()
 #: end marks or capitals inside a word
 _ODD = re.compile(r"[A-Z.,;?!](?:(?<=[a-zß-ÿ][A-Z])|(?<=[^\W\d_][.,;?!])(?=[^\W\d_])|(?<!\S.)(?<=[.,;?!])(?=[^\W\d_]))\S*")
 _SIGN = re.compile(r"^\s*(?:-- ?|-{3,}|_{3,}|~{3,}|={3,}|\*{3,})\s*$")
@@ -129,11 +131,10 @@ def noise_line(line: str) -> bool:
     dense = sum(map(len, tokens))
     if dense < 4:
         return False
-    if sum(len(t) for t in _LONG.findall(s) if not _CJK.search(t)) > 0.6 * dense:
+    if max(map(len, tokens)) > 28 and sum(len(t) for t in tokens if len(t) > 28 and not _CJK.search(t)) > 0.6 * dense:
         return True
-    words = _WORD.findall(s)
-    letters = sum(map(len, words))
-    if len(tokens) >= 3 and sum(len(t) for t in _HEX.findall(s) if len(t) == 2 or any(c.isdigit() for c in t)) > 0.6 * dense:
+    # tokens of hexadecimal digits have a decimal one or are pairs
+    if len(tokens) >= 3 and (dense <= 3.5 * len(tokens) or _DIGIT.search(s)) and sum(len(t) for t in _HEX.findall(s) if len(t) == 2 or _DIGIT.search(t)) > 0.6 * dense:
         return True
     if not s.isascii():
         if len(_BROKEN.findall(s)) * 2 > 0.25 * dense:
@@ -142,11 +143,17 @@ def noise_line(line: str) -> bool:
             return False
     elif not s.isprintable() and len(_BROKEN.findall(s)) * 2 > 0.25 * dense:
         return True
-    if letters < 0.4 * dense and dense >= 12:
+    if dense >= 12 and _few_letters(s, dense):
         return True
     return dense >= 8 and _MAYBE_CODE.search(s) is not None and _code_size(s) > 0.5 * dense
 
 
+def _few_letters(s: str, dense: int) -> bool:
+    if s.isascii() and len(s) - len(s.encode().translate(None, _ASCII_LETTERS)) >= 0.4 * dense:
+        return False
+    return sum(map(len, _WORD.findall(s))) < 0.4 * dense
+
+
 def _code_size(s: str) -> int:
     """Characters of the tokens that hold code."""
     total = 0
