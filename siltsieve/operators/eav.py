@@ -1,26 +1,26 @@
 """Entity-attribute-value rows to one wide, typed row per entity.
 
 Method: values are reduced to one typed cell per (entity, attribute) before anything is moved (map-side
-combine makes a hot entity harmless), the cells are co-partitioned by entity once, and each attribute's
-cells form one narrow typed table. The narrow tables are combined by outer joins in a balanced tree whose
+combine makes a hot entity harmless) and written once to the shared folder, partitioned by attribute and
+bucketed by entity: each attribute's part is one narrow typed table, read by itself. The narrow tables are combined by outer joins in a balanced tree whose
 nodes all carry the spine of entities, so every join runs on the same partitioning without a further shuffle.
 
 Defined edge cases: keys are compared by letters and digits only, any other key is ignored; a value that
 is null, blank, ``null`` or ``n/a`` holds nothing; rows with a null entity are ignored; repeated rows mean
 the same thing once; an entity with no declared attribute has no wide row; where readable values differ the
 latest loaded one (then the one of the largest tie-break) is kept and the cell is marked ``conflict``;
-numbers beyond decimal(38,10) are readable for comparison but their typed cell is null.
+a value read and compared that its column type cannot hold is null there and marked ``out_of_range``.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltsieve.session import holds, strip
+from siltsieve.session import holds, shared_folder, strip
 
 SQL_TYPES = {"string": "string", "integer": "bigint", "decimal": "decimal(38,10)", "boolean": "boolean", "date": "date"}
 #: Attributes one wide table may declare; they are the columns of the result.
@@ -87,21 +87,32 @@ def typed_cells(df: DataFrame, types: DataFrame, entity: str, key: str, value: s
     return cells.select("entity", "attr_name", F.col("__best.v").alias("cell"), "unreadable", F.coalesce(F.col("__lo") != F.col("__hi"), F.lit(False)).alias("conflict"))
 
 
+def stored(df: DataFrame, buckets: int, part: str | None = None) -> DataFrame:
+    """A table written once below the shared folder, bucketed by entity: readers of a part read its own rows only and are co-partitioned."""
+    spark = df.sparkSession
+    name = f"siltsieve_{uuid.uuid4().hex}"
+    w = df.repartition(buckets, "entity").write.format("parquet").bucketBy(buckets, "entity").sortBy("entity").option("path", shared_folder(spark, "cells"))
+    (w.partitionBy(part) if part else w).saveAsTable(name)
+    return spark.table(name)
+
+
 def eav_to_wide(df: DataFrame, types: DataFrame, entity: str, key: str, value: str, order: list[str]) -> DataFrame:
     """One row per entity: ``entity``, per declared attribute a typed column, and ``issues``: array<struct<attr_name, issue>>."""
-    declared = declared_attributes(types)
-    cells = typed_cells(df, types, entity, key, value, order)
-    cells = cells.repartition("entity").sortWithinPartitions("entity").persist(StorageLevel.MEMORY_AND_DISK)
-    spine = cells.groupBy("entity").agg(F.count("*").alias("__cells"))
+    spark, declared = df.sparkSession, declared_attributes(types)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = stored(typed_cells(df, types, entity, key, value, order), buckets, "attr_name")
+    spine = stored(cells.select("entity").distinct(), buckets)
 
     def narrow(i: int) -> DataFrame:
         a = declared[i]
-        issues = F.filter(F.array(F.when(F.col("unreadable"), F.struct(F.lit(a["attr_name"]).alias("attr_name"), F.lit("unreadable").alias("issue"))), F.when(F.col("conflict"), F.struct(F.lit(a["attr_name"]).alias("attr_name"), F.lit("conflict").alias("issue")))), lambda x: x.isNotNull())
-        return cells.filter(F.col("attr_name") == a["attr_name"]).select("entity", F.col("cell").try_cast(SQL_TYPES[a["value_type"]]).alias(f"__a{i}"), issues.alias(f"__i{i}"))
+        typed = F.col("cell").try_cast(SQL_TYPES[a["value_type"]])
+        said = lambda c, issue: F.when(c, F.struct(F.lit(a["attr_name"]).alias("attr_name"), F.lit(issue).alias("issue")))
+        issues = F.array_compact(F.array(said(F.col("unreadable"), "unreadable"), said(F.col("conflict"), "conflict"), said(F.col("cell").isNotNull() & typed.isNull(), "out_of_range")))
+        return cells.filter(F.col("attr_name") == a["attr_name"]).select("entity", typed.alias(f"__a{i}"), issues.alias(f"__i{i}"))
 
     def combine(ids: list[int]) -> DataFrame:
         if len(ids) <= FANIN:
-            node = spine.select("entity")
+            node = spine
             for i in ids:
                 node = node.join(narrow(i).hint("merge"), "entity", "left")
             return node

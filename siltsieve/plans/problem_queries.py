@@ -15,7 +15,7 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return eav.cell_issues(_wide(spark, d))
+    return eav.cell_issues(_wide(spark, d)).filter("issue in ('unreadable', 'conflict')")
 
 
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:

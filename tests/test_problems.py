@@ -35,6 +35,12 @@ def test_eav_values_and_issues(spark):
     assert w[1]["Points"] == 0 and float(w[2]["Spend"]) == 2035.9 and w[3]["OptIn"] is True and w[4]["Since"] == dt.date(2016, 2, 29) and w[5]["Tier"] == "gold"
 
 
+def test_eav_values_beyond_their_column(spark):
+    out = wide(spark, [(1, "points", "9" * 30, 1), (2, "spend", "1" * 40, 1), (2, "spend", "2", 2), (3, "points", "9" * 30, 2), (3, "points", "12", 1)]).orderBy("entity").collect()
+    issues = [sorted((i["attr_name"], i["issue"]) for i in r["issues"]) for r in out]
+    assert issues == [[("Points", "out_of_range")], [("Spend", "conflict")], [("Points", "conflict"), ("Points", "out_of_range")]] and out[0]["Points"] is None and float(out[1]["Spend"]) == 2
+
+
 def test_eav_empty_and_hot_entity(spark):
     assert wide(spark, []).count() == 0
     rows = [(1, "tier", f"v{i % 3}", i) for i in range(3000)]
