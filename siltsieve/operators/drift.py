@@ -1,11 +1,12 @@
 """Schemas that drift between the files of a feed: a change log and one consistent table.
 
-Method: each file has a versioned schema fingerprint (paths, JSON types). Consecutive versions of a feed
-are compared; a removed and an added path are one rename if linked members keep their values. Members are
+Method: each file has a schema fingerprint (paths, JSON types); a run of files of one fingerprint is a version, and
+only files whose fingerprint differs from the one before are compared. A removed and an added path are one rename if linked members keep their values. Members are
 linked by the key-like paths (mostly distinct in the file) whose values they share: each shared value is a
-vote for a pair of rows, weighted by the path's distinctness, so no id name is assumed. The changes are migration steps: chaining renames back to a feed's first version gives
-each path its stable name, to which known mappings, their defaults and casts to the type of the first version are
-applied; fields without a mapping stay under their stable name.
+vote for a pair of rows, weighted by the path's distinctness, so no id name is assumed. The changes are stored as
+the migration steps of their version (rename, cast, default, keep; see ``Drift.steps``): chaining the renames back to a
+feed's first version gives each path its stable name, to which known mappings, their defaults and casts to the type of
+the first version are applied; fields without a mapping stay under their stable name.
 
 Defined edge cases: files without rows are no versions; an unparsable or non-object payload has no fields;
 empty objects have no path; an array is one value; equal values compare as text apart from outer blanks,
@@ -29,7 +30,7 @@ from siltsieve.session import cut, dim_join
 #: Share of members with both values that must agree for a rename.
 RENAME_AGREEMENT = 0.75
 MAX_MAPPINGS = 100_000
-CELL_SCHEMA = "file_id bigint, row_id bigint, path string, json_type string, value string"
+CELL_SCHEMA = "file_id bigint, row_id bigint, path string, json_type string, value string, head boolean"
 
 
 def _flatten(o: dict, prefix: str, out: list[tuple[str, str, str | None]]) -> None:
@@ -53,9 +54,9 @@ class _Lexeme(str):
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
-    """One row per (row, dotted path): JSON type and text of the value."""
-    names = ["file_id", "row_id", "path", "json_type", "value"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    """One row per (row, dotted path): JSON type and text of the value; ``head`` marks the first of its row."""
+    names = ["file_id", "row_id", "path", "json_type", "value", "head"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
     clean = lambda s: s if s is None else s.encode("utf-8", "replace").decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +70,8 @@ def cells_of(rows: DataFrame) -> DataFrame:
                 if isinstance(o, dict):
                     flat: list = []
                     _flatten(o, "", flat)
-                    for path, kind, v in flat:
-                        for c, x in zip(cols, (f, r, clean(path), kind, clean(v)), strict=True):
+                    for n, (path, kind, v) in enumerate(flat):
+                        for c, x in zip(cols, (f, r, clean(path), kind, clean(v), n == 0), strict=True):
                             c.append(x)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -90,44 +91,49 @@ class Drift:
         self.rows = rows.select("file_id", "row_id")
         # once materialised, the cells feed every comparison; rows are not parsed again
         self.cells = cut(cells_of(rows).withColumn("cmp", _comparable("value")))
-        typed = self.cells.groupBy("file_id", "path", "json_type").agg(F.count("*").alias("n"))
+        typed = self.cells.groupBy("file_id", "path", "json_type").agg(F.count("*").alias("n"), F.count_if("head").alias("heads"))
         best = F.max(F.when(F.col("json_type") != "null", F.struct("n", F.col("json_type").alias("t"))))
-        fields = typed.groupBy("file_id", "path").agg(best.alias("b"), F.sum("n").alias("filled"), F.sum(F.when(F.col("json_type").isin("null", "array"), F.col("n")).otherwise(0)).alias("holes")).select("file_id", "path", F.col("b.t").alias("json_type"), "filled", "holes")
-        present = fields.select("file_id").distinct()
-        order = Window.partitionBy("feed_id").orderBy("seq_no", "file_id")
-        seq = meta.join(present, "file_id").withColumn("prev_id", F.lag("file_id").over(order)).withColumn("first_id", F.first("file_id").over(order))
-        self.files = cut(seq)
+        fields = typed.groupBy("file_id", "path").agg(best.alias("b"), F.sum("n").alias("filled"), F.sum("heads").alias("heads")).select("file_id", "path", F.col("b.t").alias("json_type"), "filled", "heads")
         self.fields = cut(fields)
-        self.versions = self.fields.groupBy("file_id").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", "path", F.coalesce("json_type", F.lit("null")))))), 256).alias("fingerprint")).join(self.files, "file_id")
+        shape = F.array_sort(F.collect_list(F.concat_ws(":", "path", F.coalesce("json_type", F.lit("null")))))  # the paths of one file, a schema
+        prints = self.fields.groupBy("file_id").agg(F.sha2(F.concat_ws("\n", shape), 256).alias("fingerprint"), F.sum("heads").alias("lines"))
+        order = Window.partitionBy("feed_id").orderBy("seq_no", "file_id")
+        seq = meta.join(prints, "file_id").withColumns({"prev_id": F.lag("file_id").over(order), "first_id": F.first("file_id").over(order), "__before": F.lag("fingerprint").over(order)})
+        changed = F.coalesce(F.col("fingerprint") != F.col("__before"), F.lit(True))
+        # a version is a run of files with one fingerprint
+        self.files = cut(seq.withColumn("changed", changed).withColumn("version", F.sum(F.col("changed").cast("int")).over(order)).drop("__before"))
+        self.versions = self.files
         self._compare()
 
     def _compare(self) -> None:
-        pairs = self.files.filter("prev_id is not null").select("file_id", "prev_id")
+        # files of equal fingerprints have no change between them and are not compared
+        pairs = self.files.filter("prev_id is not null and changed").select("file_id", "prev_id")
         cur = self.fields.join(pairs, "file_id").select("file_id", "prev_id", "path", F.col("json_type").alias("t1"))
         old = self.fields.select(F.col("file_id").alias("prev_id"), "path", F.col("json_type").alias("t0")).join(pairs, "prev_id").select("file_id", "prev_id", "path", "t0")
         both = cur.withColumn("in1", F.lit(True)).join(old.withColumn("in0", F.lit(True)), ["file_id", "prev_id", "path"], "full")
-        diff = cut(both.select("file_id", "prev_id", "path", F.when(F.col("in0").isNull(), "added").when(F.col("in1").isNull(), "removed").when(F.col("t0") != F.col("t1"), "retyped").alias("change")).filter("change is not null"))
+        kind = F.when(F.col("in0").isNull(), "added").when(F.col("in1").isNull(), "removed").when(F.col("t0") != F.col("t1"), "retyped")
+        diff = cut(both.select("file_id", "prev_id", "path", kind.alias("change"), F.col("t0").alias("old_type"), F.col("t1").alias("new_type")).filter("change is not null"))
+        # only files that lost and gained a path need links between their members
+        todo = cut(diff.groupBy("file_id", "prev_id").agg(F.max(F.col("change") == "added").alias("a"), F.max(F.col("change") == "removed").alias("r")).filter("a and r").select("file_id", "prev_id"))
+        need = todo.select("file_id").unionByName(todo.select(F.col("prev_id").alias("file_id"))).distinct()
+        own = dim_join(self.cells.filter("value is not null"), cut(need), ["file_id"], "inner")
         # members of both files share values of key-like paths
-        distinct = self.cells.filter("json_type not in ('null', 'array')").groupBy("file_id", "path").agg(F.count_distinct("cmp").alias("values"))
-        lines = self.cells.groupBy("file_id").agg(F.count_distinct("row_id").alias("lines"))
-        held = F.col("filled") - F.col("holes")
-        keyish = self.fields.join(distinct, ["file_id", "path"]).join(lines, "file_id").filter((held >= 0.3 * F.col("lines")) & (F.col("values") >= 0.5 * held)).select("file_id", "path", (F.col("values") / held).alias("w"))
-        keys = self.cells.join(keyish, ["file_id", "path"]).filter("json_type not in ('null', 'array')").select("file_id", "path", "cmp", "row_id", "w")
-        # only files that lost and gained a path need links
-        todo = diff.groupBy("file_id", "prev_id").agg(F.max(F.col("change") == "added").alias("a"), F.max(F.col("change") == "removed").alias("r")).filter("a and r").select("file_id", "prev_id")
-        now = keys.groupBy("file_id", "path", "cmp").agg(F.min("row_id").alias("row1"), F.max("w").alias("w")).join(todo, "file_id").withColumnRenamed("path", "k1")
-        before = keys.groupBy("file_id", "path", "cmp").agg(F.min("row_id").alias("row0")).select(F.col("file_id").alias("prev_id"), F.col("path").alias("k0"), "cmp", "row0")
-        met = cut(now.join(before, ["prev_id", "cmp"]))
+        values = cut(own.filter("json_type <> 'array'").groupBy("file_id", "path", "cmp").agg(F.min("row_id").alias("row"), F.count("*").alias("n")))
+        spread = values.groupBy("file_id", "path").agg(F.count("*").alias("values"), F.sum("n").alias("held")).join(self.files.select("file_id", "lines"), "file_id")
+        keyish = cut(spread.filter((F.col("held") >= 0.3 * F.col("lines")) & (F.col("values") >= 0.5 * F.col("held"))).select("file_id", "path", (F.col("values") / F.col("held")).alias("w")))
+        keys = dim_join(values, keyish, ["file_id", "path"], "inner")
+        now = dim_join(keys, todo, ["file_id"], "inner").select("file_id", "prev_id", "cmp", F.col("row").alias("row1"), "w")
+        before = keys.select(F.col("file_id").alias("prev_id"), "cmp", F.col("row").alias("row0"))
         # the same member shares most key values, two members of one name share few: pairs are elected by votes
-        votes = met.groupBy("file_id", "prev_id", "row0", "row1").agg(F.sum("w").alias("v"))
+        votes = cut(now.join(before, ["prev_id", "cmp"]).groupBy("file_id", "prev_id", "row0", "row1").agg(F.sum("w").alias("v")))
         most = votes.groupBy("file_id").agg(F.max("v").alias("most"))
         elected = Window.partitionBy("file_id", "row1").orderBy(F.desc("v"), "row0")
-        links = votes.join(most, "file_id").filter(F.col("v") * 2 >= F.col("most")).withColumn("r", F.row_number().over(elected)).filter("r = 1").select("file_id", "prev_id", "row0", "row1")
-        gone = diff.filter("change = 'removed'").select("file_id", "prev_id", F.col("path").alias("p0"))
-        new = diff.filter("change = 'added'").select("file_id", F.col("path").alias("p1"))
-        was = self.cells.filter("value is not null").select(F.col("file_id").alias("prev_id"), F.col("row_id").alias("row0"), F.col("path").alias("p0"), F.col("cmp").alias("v0")).join(gone, ["prev_id", "p0"])
-        now1 = self.cells.filter("value is not null").select("file_id", F.col("row_id").alias("row1"), F.col("path").alias("p1"), F.col("cmp").alias("v1")).join(new, ["file_id", "p1"])
-        votes = links.join(was, ["file_id", "prev_id", "row0"]).join(now1, ["file_id", "row1"]).groupBy("file_id", "p0", "p1").agg(F.count("*").alias("n"), F.sum((F.col("v0") == F.col("v1")).cast("int")).alias("same"))
+        links = dim_join(votes, most, ["file_id"], "inner").filter(F.col("v") * 2 >= F.col("most")).withColumn("r", F.row_number().over(elected)).filter("r = 1").select("file_id", "prev_id", "row0", "row1")
+        gone = diff.filter("change = 'removed'").select(F.col("prev_id").alias("file_id"), "path")
+        new = diff.filter("change = 'added'").select("file_id", "path")
+        was = dim_join(own.select("file_id", "row_id", "path", "cmp"), gone, ["file_id", "path"], "inner").select(F.col("file_id").alias("prev_id"), F.col("row_id").alias("row0"), F.col("path").alias("p0"), F.col("cmp").alias("v0"))
+        now1 = dim_join(own.select("file_id", "row_id", "path", "cmp"), new, ["file_id", "path"], "inner").select("file_id", F.col("row_id").alias("row1"), F.col("path").alias("p1"), F.col("cmp").alias("v1"))
+        votes = links.join(was, ["prev_id", "row0"]).join(now1, ["file_id", "row1"]).groupBy("file_id", "p0", "p1").agg(F.count("*").alias("n"), F.sum((F.col("v0") == F.col("v1")).cast("int")).alias("same"))
         votes = votes.filter((F.col("same") > 0) & (F.col("same") >= RENAME_AGREEMENT * F.col("n")))
         rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("same") / F.col("n")), F.desc("same"), "p0", "p1"))
         renames = votes.withColumns({"r0": rank("file_id", "p0"), "r1": rank("file_id", "p1")}).filter("r0 = 1 and r1 = 1").select("file_id", "p0", "p1")
@@ -136,8 +142,24 @@ class Drift:
         log = self.renames.select("file_id", F.lit("renamed").alias("change_kind"), F.col("p0").alias("old_field"), F.col("p1").alias("new_field"))
         log = log.unionByName(diff.filter("change = 'added'").join(used1, ["file_id", "path"], "left_anti").select("file_id", F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), F.col("path").alias("new_field")))
         log = log.unionByName(diff.filter("change = 'removed'").join(used0, ["file_id", "path"], "left_anti").select("file_id", F.lit("removed").alias("change_kind"), F.col("path").alias("old_field"), F.lit("").alias("new_field")))
+        self._diff = diff
         self.changes = log.unionByName(diff.filter("change = 'retyped'").select("file_id", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_field"), F.col("path").alias("new_field")))
 
+    def steps(self) -> DataFrame:
+        """The stored migration of every version: (feed_id, version, file_id, step_no, step, path, to), applied in order.
+
+        Each version is led back to the one before it: ``rename`` gives a path its former name, ``cast`` its former type,
+        ``default`` fills a path that is gone with null, ``keep`` takes a new path on. ``names`` composes the renames of a
+        chain, ``contacts`` applies the casts to the type of the first version.
+        """
+        kept = lambda kind, col: self._diff.filter(F.col("change") == kind).join(self.renames.select("file_id", F.col(col).alias("path")), ["file_id", "path"], "left_anti")
+        one = lambda d, step, path, to: d.select("file_id", F.lit(step).alias("step"), path.alias("path"), to.cast("string").alias("to"))
+        p, none = F.col("path"), F.lit(None)
+        d = one(self.renames, "rename", F.col("p1"), F.col("p0")).unionByName(one(self._diff.filter("change = 'retyped'"), "cast", p, F.col("old_type")))
+        d = d.unionByName(one(kept("removed", "p0"), "default", p, none)).unionByName(one(kept("added", "p1"), "keep", p, none))
+        rank = F.row_number().over(Window.partitionBy("file_id").orderBy(F.array_position(F.array(*map(F.lit, ("rename", "cast", "default", "keep"))), F.col("step")), "path"))
+        return d.join(self.files.select("file_id", "feed_id", "version"), "file_id").select("feed_id", "version", "file_id", rank.alias("step_no"), "step", "path", "to")
+
     def names(self) -> DataFrame:
         """(file_id, path, stable) where stable is the path's name in its feed's first version that has it.
 

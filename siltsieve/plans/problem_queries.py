@@ -35,7 +35,11 @@ def p3_contacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_versions(spark: SparkSession, d: str) -> DataFrame:
-    return _drift(spark, d).versions.select("file_id", "feed_id", "seq_no", "prev_id", "fingerprint")
+    return _drift(spark, d).versions.select("file_id", "feed_id", "seq_no", "prev_id", "fingerprint", "version")
+
+
+def p3_steps(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(spark, d).steps()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +79,7 @@ def p7_rows(spark: SparkSession, d: str) -> DataFrame:
     return _loaded(spark, d).filter("kind = 'row'").selectExpr("line_id", "file_id", *[f"fields['{n}'] as {n}" for n in names])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p3_found, p3_contacts, p3_versions, p4_found, p6_found, p6_documents, p6_profiles, p7_found, p7_files, p7_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p3_found, p3_contacts, p3_versions, p3_steps, p4_found, p6_found, p6_documents, p6_profiles, p7_found, p7_files, p7_rows)}
 
 _NOTHING = "('', 'null', 'n/a')"
 _NUMBER = "CASE WHEN regexp_full_match(val, '[+-]?{m}(?:[0-9]+|[0-9]{{1,3}}(?:,[0-9]{{3}})+)(?:\\.{f})?') THEN CAST(CAST(regexp_replace(val, '[+$, ]', '', 'g') AS DECIMAL(30,8)) AS VARCHAR) END"

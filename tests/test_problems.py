@@ -237,6 +237,8 @@ def test_drift(spark):
     three = [{"key": p["id"], "contact": {"mobile": p["phone"]}, "status": p["state"], "fresh": "a"} for p in reversed(people)]
     d, got = changes(spark, [one, two, three])
     assert got == sorted([(2, "renamed", "phone", "contact.mobile"), (2, "removed", "old", ""), (2, "added", "", "fresh"), (3, "renamed", "id", "key"), (3, "renamed", "state", "status"), (3, "retyped", "contact.mobile", "contact.mobile")])
+    steps = [(r["version"], r["step_no"], r["step"], r["path"], r["to"]) for r in d.steps().orderBy("version", "step_no").collect()]
+    assert steps == [(2, 1, "rename", "contact.mobile", "phone"), (2, 2, "default", "old", None), (2, 3, "keep", "fresh", None), (3, 1, "rename", "key", "id"), (3, 2, "rename", "status", "state"), (3, 3, "cast", "contact.mobile", "number")]
     maps = spark.createDataFrame([("contacts_*.jsonl", None, "phone", "Mobile"), ("contacts_*.jsonl", "jsonl", "id", "Id")], "match_name string, file_format string, source_field string, target_field string")
     c = d.contacts(maps, ["Id", "Mobile"])
     assert c.count() == 33 and c.filter("id is null or mobile is null").count() == 0
@@ -258,6 +260,12 @@ def test_contacts_keep_every_field(spark):
     assert c[25]["fields"] == c[26]["fields"] == {} and c[1]["datasource"] == "unknown" and c[25]["email"] is None
 
 
+def test_equal_fingerprints_are_one_version(spark):
+    d, got = changes(spark, [[{"a": 1, "b": "x"}], [{"b": "y", "a": 2}], [{"a": 3, "c": "z"}]])
+    assert [r["version"] for r in d.versions.orderBy("seq_no").collect()] == [1, 1, 2] and [r["changed"] for r in d.versions.orderBy("seq_no").collect()] == [True, False, True]
+    assert {x[0] for x in got} == {3}
+
+
 def test_drift_edge_cases(spark):
     _, got = changes(spark, [[{"a": 1, "e": {}}, "broken", "[1]"], [{"a": 1}, {"a": "x"}], [{"a": "x"}, {"a": 1}, {"a": None}], [{"a": "1"}]])
     assert got == [(2, "retyped", "a", "a")] or all(k == "retyped" for _, k, _, _ in got)
