@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Distinct edges a schema graph may have; it is a schema, not data.
 MAX_EDGES = 100_000
+#: Share of common fields from which two nested elements are one type.
+SAME_FIELDS = 0.6
 NODE_SCHEMA = "record_no bigint, relation string, node_no int, parent_relation string, parent_no int, same_parent_no int, fields map<string,string>"
 
 
@@ -43,7 +46,7 @@ def _scalar(v: object) -> str:
     return s.encode("utf-8", "replace").decode()
 
 
-def entries(v: object, known: set[str]) -> list[object] | None:
+def entries(v: object, known: frozenset[str]) -> list[object] | None:
     """The entries of a repeated element in any of its writings; None if it is one plain scalar."""
     if isinstance(v, str) and not isinstance(v, _Num) and v.lstrip()[:1] in ("[", "{"):
         inner = _load(v)
@@ -100,16 +103,29 @@ def schema_graph(docs: DataFrame, text: str) -> list[tuple[str, str, str]]:
     return sorted(tuple(e) for e in edges)
 
 
-def decide_relations(edges: list[tuple[str, str, str]], shared: dict[str, str] | None = None) -> dict[str, str]:
-    """Element -> relation for repeated, shared (several parents, as object) and recursive elements."""
-    relations = dict(shared or {})
+@dataclass(frozen=True)
+class Relation:
+    """Where the entries of an element go: the relation's name, the fields its objects have, and whether it holds objects only."""
+
+    name: str
+    fields: frozenset[str]
+    objects: bool
+
+
+def decide_relations(edges: list[tuple[str, str, str]]) -> dict[str, Relation]:
+    """Element -> relation for repeated, shared (several parents, as object) and recursive elements.
+
+    Elements that reach each other's relation and have mostly the same fields are one type written under two names; they
+    share a relation, named after the outermost of them.
+    """
     parents: dict[str, set[str]] = {}
+    below: dict[str, set[str]] = {}
+    kinds: dict[str, set[str]] = {}
     for p, c, kind in edges:
+        below.setdefault(p, set()).add(c)
+        kinds.setdefault(c, set()).add(kind)
         if kind in ("object", "objects"):
             parents.setdefault(c, set()).add(p)
-    below: dict[str, set[str]] = {}
-    for p, c, _ in edges:
-        below.setdefault(p, set()).add(c)
 
     def reaches(a: str, b: str) -> bool:
         todo, seen = [a], set()
@@ -122,13 +138,43 @@ def decide_relations(edges: list[tuple[str, str, str]], shared: dict[str, str] |
                     todo.append(x)
         return False
 
-    for _, c, kind in edges:
-        if kind in ("objects", "scalars") or len(parents.get(c, ())) > 1 or (c in parents and reaches(c, c)):
-            relations.setdefault(c, c)
-    return relations
-
-
-def shred_document(doc: object, relations: dict[str, str], known: set[str]) -> list[tuple]:
+    chosen = sorted(c for c, k in kinds.items() if k & {"objects", "scalars"} or len(parents.get(c, ())) > 1 or (c in parents and reaches(c, c)))
+    same: dict[str, str] = {}
+    for a in chosen:
+        for b in chosen:
+            fa, fb = below.get(a, set()), below.get(b, set())
+            if a != b and fa and fb and len(fa & fb) >= SAME_FIELDS * len(fa | fb) and reaches(a, b) and not (reaches(b, a) and b < a):
+                same[b] = a
+    out = {}
+    for c in chosen:
+        name, seen = c, {c}
+        while name in same and same[name] not in seen:
+            name = same[name]
+            seen.add(name)
+        alike = [x for x in chosen if x == c or same.get(x) == name or same.get(c) == x or x == name]
+        out[c] = Relation(name, frozenset().union(*(below.get(x, set()) for x in alike)), bool(kinds[c] & {"object", "objects"}))
+    return out
+
+
+def inlined_paths(edges: list[tuple[str, str, str]], relations: dict[str, Relation], relation: str) -> list[str]:
+    """Dotted paths of the scalars that a relation's rows hold."""
+    paths: set[str] = set()
+
+    def walk(element: str, prefix: str, seen: frozenset[str]) -> None:
+        for p, c, kind in edges:
+            if p != element or c in seen or c in relations:
+                continue
+            if kind == "scalar":
+                paths.add(prefix + c)
+            elif kind == "object":
+                walk(c, f"{prefix}{c}.", seen | {c})
+
+    for element in [""] if relation == "" else [c for c, r in relations.items() if r.name == relation]:
+        walk(element, "", frozenset([element]))
+    return sorted(paths)
+
+
+def shred_document(doc: object, relations: dict[str, Relation]) -> list[tuple]:
     """Rows (relation, node_no, parent_relation, parent_no, same_parent_no, fields) in reading order; the root is relation ''."""
     counts: dict[str, int] = {}
     rows: list[tuple] = []
@@ -144,29 +190,23 @@ def shred_document(doc: object, relations: dict[str, str], known: set[str]) -> l
 
     def inline(o: dict, prefix: str, fields: dict[str, str], me: tuple[str, int], same: dict[str, int]) -> None:
         for k, v in o.items():
-            relation = relations.get(k)
-            found = entries(v, known) if relation is not None else None
+            r = relations.get(k)
+            found = entries(v, r.fields) if r is not None else None
             if found is not None:
-                only_objects = k in objects
                 for x in found:
-                    if isinstance(x, dict) or (x is not None and not only_objects):
-                        node(x, relation, me, same)
+                    if isinstance(x, dict) or (x is not None and not r.objects):
+                        node(x, r.name, me, same)
             elif isinstance(v, dict):
                 inline(v, prefix + k + ".", fields, me, same)
             elif v is not None:
                 fields[prefix + k] = _scalar(v)
 
-    objects = {k for k in relations if k in shared_objects}
     if isinstance(doc, dict):
         node(doc, "", ("", 0), {})
     return rows
 
 
-#: Elements whose entries are objects only; other entries of theirs are no rows.
-shared_objects = {"line_items", "components", "orders", "years"}
-
-
-def shred(docs: DataFrame, record: str, text: str, relations: dict[str, str], known: set[str]) -> DataFrame:
+def shred(docs: DataFrame, record: str, text: str, relations: dict[str, Relation]) -> DataFrame:
     """All relations of all documents as one long table of nodes (NODE_SCHEMA); filter on ``relation`` for one table."""
     names = ["record_no", "relation", "node_no", "parent_relation", "parent_no", "same_parent_no", "fields"]
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string())]
@@ -175,7 +215,7 @@ def shred(docs: DataFrame, record: str, text: str, relations: dict[str, str], kn
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for no, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for r in shred_document(_load(t), relations, known):
+                for r in shred_document(_load(t), relations):
                     for c, x in zip(cols, (no, *r[:5], list(r[5].items())), strict=True):
                         c.append(x)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
@@ -183,25 +223,11 @@ def shred(docs: DataFrame, record: str, text: str, relations: dict[str, str], kn
     return docs.select(F.col(record).cast("bigint"), F.col(text)).mapInArrow(run, NODE_SCHEMA)
 
 
-ITEM_FIELDS = {"item_id", "qty", "price", "components"}
-ITEMS = {"line_items": "item", "components": "item"}
-
-
-def documents_as_json(order_docs: DataFrame, customer_docs: DataFrame) -> DataFrame:
-    """Typed and textual documents in one form: record_no, payload."""
-    typed = order_docs.select("record_no", F.to_json(F.struct("id", "customer_id", "state", "line_items", "placed_at"), {"ignoreNullFields": "true"}).alias("payload"))
-    return typed.unionByName(customer_docs.select("record_no", "payload"))
-
-
-def nested_tables(order_docs: DataFrame, customer_docs: DataFrame) -> DataFrame:
-    """All nodes of both document tables; relations follow from the schema graph, items being one shared relation."""
-    docs = documents_as_json(order_docs, customer_docs)
-    relations = decide_relations(schema_graph(docs, "payload"), ITEMS)
-    return shred(docs, "record_no", "payload", relations, ITEM_FIELDS)
-
-
-def item_table(nodes: DataFrame) -> DataFrame:
-    return nodes.filter("relation = 'item'").select("record_no", F.col("node_no").alias("item_no"), F.col("same_parent_no").alias("parent_no"), F.coalesce(F.col("fields")["item_id"], F.lit("")).alias("item_id"))
+def relation_table(nodes: DataFrame, relation: str, columns: list[str]) -> DataFrame:
+    """One relation as a flat table: record_no, node_no, its parent's relation and number, and its columns as text."""
+    columns = columns or ["value"]  # entries that are plain values
+    named = [F.col("fields")[c].alias(c.replace(".", "_")) for c in columns]
+    return nodes.filter(F.col("relation") == relation).select("record_no", "node_no", "parent_relation", "parent_no", "same_parent_no", *named)
 
 
 def inline_struct(df: DataFrame, sep: str = "_") -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltsieve.session import BROADCAST_ROWS, dim_join
+from siltsieve.sources.records import header_names
 
 START, BARE, QUOTED, CLOSED, BROKEN = range(5)
 OTHER, QUOTE, DELIM, END = range(4)
@@ -64,34 +65,34 @@ def scan_states(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return states.reshape(-1)[:n]
 
 
-def tokenize(texts: list[str], delimiter: str) -> list[tuple[list[str] | None, int]]:
-    """Per record its fields, or None with the offset of the first quoting error."""
+def tokenize(texts: list[str], delimiter: str) -> list[tuple[list[str] | None, int, list[int]]]:
+    """Per record its fields, or None with the offset of the first quoting error; and where each field begins."""
     if not texts:
         return []
-    joined = "\x00".join(t.replace("\x00", " ") for t in texts) + "\x00"
+    joined = "\n".join(texts) + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     classes = np.zeros(len(codes), np.uint8)
     classes[codes == ord('"')] = QUOTE
     classes[codes == ord(delimiter)] = DELIM
-    classes[codes == 0] = END
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # by length: any character may stand in a text
+    classes[ends] = END
     states = scan_states(classes)
-    ends = np.flatnonzero(classes == END)
     begins = np.concatenate([[0], ends[:-1] + 1])
     cuts = np.flatnonzero((classes == DELIM) & (states != QUOTED) & (states != BROKEN))
     lo, hi = np.searchsorted(cuts, begins), np.searchsorted(cuts, ends)
     broken = np.flatnonzero(states == BROKEN)
     first = np.searchsorted(broken, begins)
-    out: list[tuple[list[str] | None, int]] = []
+    out: list[tuple[list[str] | None, int, list[int]]] = []
     for i, (b, e) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
         last = states[e]
         if last == BROKEN:
-            out.append((None, int(broken[first[i]]) - 1 - b))
+            out.append((None, int(broken[first[i]]) - 1 - b, []))
         elif last == QUOTED:
-            out.append((None, e - b))
+            out.append((None, e - b, []))
         else:
             marks = [b - 1, *cuts[lo[i] : hi[i]].tolist(), e]
             raw = (joined[x + 1 : y] for x, y in zip(marks, marks[1:], strict=False))
-            out.append(([f[1:-1].replace('""', '"') if f[:1] == '"' else f for f in raw], -1))
+            out.append(([f[1:-1].replace('""', '"') if f[:1] == '"' else f for f in raw], -1, [x + 1 - b for x in marks[:-1]]))
     return out
 
 
@@ -107,22 +108,25 @@ class _Number(str):
     pass
 
 
-def parse_object(text: str) -> dict[str, str] | None:
-    """Field texts of exactly one JSON object (number lexemes kept), else None."""
+def parse_object(text: str) -> tuple[dict[str, str] | None, int]:
+    """Field texts of exactly one JSON object (number lexemes kept), else None and the offset of the failure."""
     try:
         o = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_reject)
+    except json.JSONDecodeError as e:
+        return None, e.pos
     except (ValueError, RecursionError):
-        return None
-    return {k: _text(v) for k, v in o.items()} if isinstance(o, dict) else None
+        return None, 0
+    return ({k: _text(v) for k, v in o.items()}, -1) if isinstance(o, dict) else (None, 0)
 
 
-def bad_value(fields: dict[str, str], patterns: dict[str, re.Pattern]) -> str | None:
+def bad_value(fields: dict[str, str], patterns: dict[str, re.Pattern], dates: tuple[str, ...] = ()) -> str | None:
+    """The first field that does not match its pattern or, named in ``dates``, is no calendar date."""
     for name, v in fields.items():
         if v == "" or (p := patterns.get(name)) is None:
             continue
         if not p.fullmatch(v):
             return name
-        if name == "joined":
+        if name in dates:
             try:
                 datetime.date.fromisoformat(v)
             except ValueError:
@@ -130,7 +134,7 @@ def bad_value(fields: dict[str, str], patterns: dict[str, re.Pattern]) -> str |
     return None
 
 
-def _loader(specs: list[tuple[str, str]]):
+def _loader(specs: list[tuple[str, str]], dates: tuple[str, ...]):
     arrow = pa.schema([("line_id", pa.int64()), ("file_id", pa.int64()), ("line_number", pa.int32()), ("kind", pa.string()), ("reason", pa.string()), ("error_offset", pa.int32()), ("error_field", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
     clean = lambda s: s.encode("utf-8", "replace").decode()
 
@@ -139,35 +143,36 @@ def _loader(specs: list[tuple[str, str]]):
         for batch in batches:
             d = batch.to_pydict()
             n = batch.num_rows
-            kind, reason, offset, field, values = ["row"] * n, [None] * n, [None] * n, [None] * n, [None] * n
+            kind, reason, offset, field, values, places = ["row"] * n, [None] * n, [None] * n, [None] * n, [None] * n, [None] * n
             texts = [(t or "").rstrip("\r\n") for t in d["raw_text"]]
             for delimiter, tsv in ((",", False), ("\t", True)):
                 own = [i for i in range(n) if texts[i].strip() and d["file_format"][i] not in ("jsonl", "ndjson") and (d["file_format"][i] == "tsv") == tsv]
-                headers = {h: [c.strip() for c in (tokenize([h.lstrip("﻿").rstrip("\r\n")], delimiter)[0][0] or [])] for h in {d["header"][i] for i in own} if h}
+                headers = {h: header_names(tokenize([h.lstrip("﻿").rstrip("\r\n")], delimiter)[0][0] or []) for h in {d["header"][i] for i in own} if h}
                 own = [i for i in own if d["line_number"][i] != 1]
-                for i, (parts, at) in zip(own, tokenize([texts[i] for i in own], delimiter), strict=True):
+                for i, (parts, at, begins) in zip(own, tokenize([texts[i] for i in own], delimiter), strict=True):
                     names = headers.get(d["header"][i] or "")
                     if parts is None:
                         reason[i], offset[i] = "quoting", at
                     elif not names or len(parts) != len(names):
-                        reason[i] = "columns"
+                        # the first field too many, or the end of a record with too few
+                        n_names = len(names or ())
+                        reason[i], offset[i] = "columns", begins[n_names] if len(begins) > n_names else len(texts[i])
                     else:
-                        row = {}
-                        for c, v in zip(names, parts, strict=True):
-                            row.setdefault(c, v)
-                        values[i] = row
+                        values[i], places[i] = dict(zip(names, parts, strict=True)), dict(zip(names, begins, strict=True))
             for i in range(n):
                 json_lines = d["file_format"][i] in ("jsonl", "ndjson")
                 if not texts[i].strip():
                     kind[i] = "blank"
                 elif json_lines:
-                    values[i] = parse_object(texts[i].lstrip("﻿") if d["line_number"][i] == 1 else texts[i])
+                    text = texts[i].lstrip("﻿") if d["line_number"][i] == 1 else texts[i]
+                    values[i], at = parse_object(text)
                     if values[i] is None:
-                        reason[i] = "malformed"
+                        reason[i], offset[i] = "malformed", at + len(texts[i]) - len(text)
                 elif d["line_number"][i] == 1:
                     kind[i] = "header"
-                if values[i] is not None and (f := bad_value(values[i], patterns)) is not None:
+                if values[i] is not None and (f := bad_value(values[i], patterns, dates)) is not None:
                     reason[i], field[i], values[i] = "value", f, None
+                    offset[i] = places[i][f] if places[i] is not None else max(0, texts[i].find(json.dumps(f, ensure_ascii=False)))
                 if reason[i]:
                     kind[i] = "bad"
             maps = [None if v is None else [(clean(k), clean(x)) for k, x in v.items()] for v in values]
@@ -176,11 +181,11 @@ def _loader(specs: list[tuple[str, str]]):
     return load
 
 
-def load_raw(raw: DataFrame, files: DataFrame, specs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+def load_raw(raw: DataFrame, files: DataFrame, specs: DataFrame, dates: tuple[str, ...] = (), bound: int = BROADCAST_ROWS) -> DataFrame:
     """Every record with its kind (row, bad, blank, header), reason of failure and loaded fields.
 
     A file's format and header are joined to its records by a size-checked broadcast, else by a salted join.
-    ``specs`` names fields, so it is as small as a schema (checked against MAX_SPECS).
+    ``dates`` names fields whose values must be calendar dates. ``specs`` names fields, so it is as small as a schema (checked against MAX_SPECS).
     """
     patterns = [(r[0], r[1]) for r in specs.select("field_name", "value_pattern").limit(MAX_SPECS + 1).collect() if r[0] is not None and r[1] is not None]
     if len(patterns) > MAX_SPECS:
@@ -188,7 +193,21 @@ def load_raw(raw: DataFrame, files: DataFrame, specs: DataFrame, bound: int = BR
     head = raw.filter(F.col("line_number") == 1).groupBy("file_id").agg(F.min_by("raw_text", "line_id").alias("header"))
     info = files.select("file_id", F.lower("file_format").alias("file_format")).dropDuplicates(["file_id"]).join(head, "file_id", "full")
     d = dim_join(raw.select("line_id", "file_id", "line_number", "raw_text"), info, ["file_id"], bound=bound)
-    return d.mapInArrow(_loader(patterns), SCHEMA)
+    return d.mapInArrow(_loader(patterns, dates), SCHEMA)
+
+
+def typed_rows(loaded: DataFrame, types: dict[str, str]) -> DataFrame:
+    """The loaded rows with a typed column per declared field and all other fields in the map ``further``.
+
+    A text a type cannot hold stays in ``further``; an empty one is null.
+    """
+    text = lambda c: F.when(F.col("fields")[c] != "", F.col("fields")[c])
+    typed = {c: text(c).try_cast(t) for c, t in types.items()}
+    plain = [c for c, t in types.items() if t == "string"]
+    lost = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(text(c).isNotNull() & typed[c].isNull(), F.lit(c)) for c, t in types.items() if t != "string"]))
+    d = loaded.filter("kind = 'row'").withColumn("__lost", lost)
+    further = F.map_filter("fields", lambda k, v: ~k.isin(*types) | F.array_contains("__lost", k)) if types else F.col("fields")
+    return d.select("line_id", "file_id", *[(text(c) if c in plain else typed[c]).alias(c) for c in types], further.alias("further"))
 
 
 def failed_records(loaded: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltsieve.operators import drift, eav, instants, nested, rawload
 from siltsieve.session import table
@@ -46,16 +47,46 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.timestamp_report(table(spark, d, "unified_records"), table(spark, d, "profiles"), table(spark, d, "source_profiles"))
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nested_tables(table(spark, d, "order_docs"), table(spark, d, "customer_docs"))
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """The typed and the textual documents in one form: record_no, payload."""
+    fields = F.struct("id", "customer_id", "state", "line_items", "placed_at")
+    typed = table(spark, d, "order_docs").select("record_no", F.to_json(fields, {"ignoreNullFields": "true"}).alias("payload"))
+    return typed.unionByName(table(spark, d, "customer_docs").select("record_no", "payload"))
+
+
+def _relation(spark: SparkSession, d: str, element: str) -> DataFrame:
+    """The relation of an element of the documents (the root for ''), with all its inlined columns."""
+    docs = _documents(spark, d)
+    edges = nested.schema_graph(docs, "payload")
+    relations = nested.decide_relations(edges)
+    name = relations[element].name if element in relations else element
+    return nested.relation_table(nested.shred(docs, "record_no", "payload", relations), name, nested.inlined_paths(edges, relations, name))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.item_table(_nodes(spark, d))
+    return p6_items(spark, d).select("record_no", F.col("node_no").alias("item_no"), F.col("same_parent_no").alias("parent_no"), F.coalesce("item_id", F.lit("")).alias("item_id"))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    return _relation(spark, d, "line_items")
+
+
+def p6_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders inside customer documents; items point to them by parent_relation and parent_no."""
+    return _relation(spark, d, "orders")
+
+
+def p6_years(spark: SparkSession, d: str) -> DataFrame:
+    return _relation(spark, d, "years")
+
+
+def p6_tags(spark: SparkSession, d: str) -> DataFrame:
+    """A relation of plain values: each has its value and its parent."""
+    return _relation(spark, d, "tags")
 
 
 def p6_documents(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).filter("relation = ''").selectExpr("record_no", "fields['id'] as id", "fields['customer_id'] as customer_id", "fields['state'] as state", "fields['email'] as email")
+    return _relation(spark, d, "")
 
 
 def p6_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +94,7 @@ def p6_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _loaded(spark: SparkSession, d: str) -> DataFrame:
-    return rawload.load_raw(table(spark, d, "raw_lines"), table(spark, d, "file_stats"), table(spark, d, "field_specs"))
+    return rawload.load_raw(table(spark, d, "raw_lines"), table(spark, d, "file_stats"), table(spark, d, "field_specs"), dates=("joined",))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,12 +105,17 @@ def p7_files(spark: SparkSession, d: str) -> DataFrame:
     return rawload.file_counts(_loaded(spark, d))
 
 
+def p7_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The failing records with the offset in their text and the field of the failure."""
+    return _loaded(spark, d).filter("kind = 'bad'").select("line_id", "file_id", "line_number", "reason", "error_offset", "error_field")
+
+
 def p7_rows(spark: SparkSession, d: str) -> DataFrame:
-    names = ["customer_id", "first_name", "last_name", "email", "mobile", "postcode", "status", "points", "joined", "notes"]
-    return _loaded(spark, d).filter("kind = 'row'").selectExpr("line_id", "file_id", *[f"fields['{n}'] as {n}" for n in names])
+    """The loaded rows: declared numbers and dates typed, other declared fields as text, all further fields as a map."""
+    return rawload.typed_rows(_loaded(spark, d), {"customer_id": "string", "first_name": "string", "last_name": "string", "email": "string", "mobile": "string", "postcode": "string", "status": "string", "points": "bigint", "joined": "date", "notes": "string"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p3_found, p3_contacts, p3_versions, p3_steps, p4_found, p6_found, p6_documents, p6_profiles, p7_found, p7_files, p7_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p3_found, p3_contacts, p3_versions, p3_steps, p4_found, p6_found, p6_items, p6_orders, p6_years, p6_tags, p6_documents, p6_profiles, p7_found, p7_errors, p7_files, p7_rows)}
 
 _NOTHING = "('', 'null', 'n/a')"
 _NUMBER = "CASE WHEN regexp_full_match(val, '[+-]?{m}(?:[0-9]+|[0-9]{{1,3}}(?:,[0-9]{{3}})+)(?:\\.{f})?') THEN CAST(CAST(regexp_replace(val, '[+$, ]', '', 'g') AS DECIMAL(30,8)) AS VARCHAR) END"
