@@ -13,12 +13,15 @@ a null source is a source of its own without target; shares need not sum to 1, t
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sources one mixture may have; their sizes are kept on the driver.
 MAX_SOURCES = 10_000
-BUCKETS = 4096
+#: Buckets of each hash and how many hashes are nested: one task orders at most about a source / BUCKETS ** LEVELS.
+BUCKETS, LEVELS = 4096, 2
 
 
 def water_fill(sizes: dict[str, int], shares: dict[str, float], caps: dict[str, float], budget: float) -> dict[str, float]:
@@ -56,35 +59,38 @@ def plan_mixture(sized: DataFrame, targets: DataFrame, budget: float | None = No
     shares = {r[0]: float(r[1] or 0) for r in rows}
     caps = {r[0]: float(r[2] or 0) for r in rows}
     want = water_fill(sizes, shares, caps, largest_exact_budget(sizes, shares, caps) if budget is None else budget)
-    return [{"source": s, "corpus_tokens": n, "target_share": shares.get(s, 0.0), "max_repeats": int(caps.get(s, 0)), "repeats": (want.get(s, 0.0) / n if n else 0.0), "planned_tokens": want.get(s, 0.0)} for s, n in sizes.items()]
+    return [{"source": s, "corpus_tokens": n, "target_share": shares.get(s, 0.0), "max_repeats": int(caps.get(s, 0)), "repeats": (want.get(s, 0.0) / n if n else 0.0), "planned_tokens": want.get(s, 0.0)} for s, n in ({s: 0 for s in shares} | sizes).items()]
 
 
 def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 17) -> DataFrame:
     """doc_id, source, n_tokens and ``copies`` of each document in the mixture, documents with no copy left out.
 
-    The fraction of a source is cut exactly: hash buckets with their tokens find the bucket in which the
+    The fraction of a source is cut exactly: nested hash buckets with their tokens find the bucket in which the
     fraction ends, and only that bucket's documents are ordered.
     """
     spark = sized.sparkSession
     plan = plan_mixture(sized, targets, budget)
     rows = [(p["source"], int(p["repeats"]), (p["repeats"] - int(p["repeats"])) * p["corpus_tokens"]) for p in plan]
     dim = spark.createDataFrame(rows or [(None, 0, 0.0)], "source string, whole int, extra double")
-    h = F.xxhash64(F.lit(seed), "source", "doc_id")
-    d = sized.select("doc_id", "source", "n_tokens").withColumn("bucket", F.pmod(h, F.lit(BUCKETS)).cast("int")).withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id"))
-    sums = d.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))  # at most MAX_SOURCES x BUCKETS rows
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0)))
-    edge = sums.join(F.broadcast(dim), sums.source.eqNullSafe(dim.source)).select(sums.source, "bucket", "before", "t", "whole", "extra")
-    edge = edge.withColumn("state", F.when(F.col("before") + F.col("t") <= F.col("extra"), "in").when(F.col("before") < F.col("extra"), "edge").otherwise("out"))
-    edges = edge.filter("state = 'edge'").select(F.col("source").alias("es"), F.col("bucket").alias("eb"), "before", F.col("extra").alias("ex"))  # one per source
-    dim2 = dim.select(F.col("source").alias("ds"), "whole", "extra")
-    d = d.join(F.broadcast(dim2), F.col("source").eqNullSafe(F.col("ds"))).join(F.broadcast(edges), F.col("source").eqNullSafe(F.col("es")), "left")
-    inside = F.when(F.col("eb").isNull(), F.col("extra") > 0).otherwise(F.col("bucket") < F.col("eb"))
-    rest = d.filter(~F.col("bucket").eqNullSafe(F.col("eb"))).withColumn("plus", inside.cast("int"))
-    cut = d.filter(F.col("bucket") == F.col("eb"))
+    place = [F.pmod(F.xxhash64(F.lit(seed + k), "source", "doc_id"), F.lit(BUCKETS)).cast("int").alias(f"b{k}") for k in range(LEVELS)]
+    dim = dim.select(F.col("source").alias("ds"), "whole", "extra")
+    d = sized.select("doc_id", "source", "n_tokens", F.xxhash64(F.lit(seed + LEVELS), "doc_id").alias("order"), *place).join(F.broadcast(dim), F.col("source").eqNullSafe(F.col("ds"))).drop("ds")
+    # the fraction ends in one bucket of the first hash, in that in one of the second, and only its documents are ordered
+    d = d.withColumns({"left": F.col("extra"), "plus": F.lit(None).cast("int")})
+    parts = []
+    for k in range(LEVELS):
+        sums = d.groupBy("source", f"b{k}", "left").agg(F.sum("n_tokens").alias("t"))  # at most MAX_SOURCES x BUCKETS rows
+        before = Window.partitionBy("source").orderBy(f"b{k}").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0)))
+        edge = sums.filter((F.col("before") < F.col("left")) & (F.col("before") + F.col("t") > F.col("left"))).select(F.col("source").alias("es"), F.col(f"b{k}").alias("eb"), (F.col("left") - F.col("before")).alias("rest"))  # one a source
+        d = d.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("es")), "left")
+        on_edge = F.coalesce(F.col(f"b{k}") == F.col("eb"), F.lit(False))
+        inside = F.when(F.col("eb").isNull(), F.col("left") > 0).otherwise(F.col(f"b{k}") < F.col("eb"))
+        parts.append(d.filter(~on_edge).withColumn("plus", inside.cast("int")).drop("es", "eb", "rest"))
+        d = d.filter(on_edge).withColumn("left", F.col("rest")).drop("es", "eb", "rest")
     run = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    cut = cut.withColumn("plus", (F.col("before") + run - F.col("n_tokens") / 2 <= F.col("ex")).cast("int"))
-    both = rest.unionByName(cut).withColumn("copies", F.col("whole") + F.col("plus"))
+    parts.append(d.withColumn("plus", (run - F.col("n_tokens") / 2 <= F.col("left")).cast("int")))
+    both = functools.reduce(DataFrame.unionByName, parts).withColumn("copies", F.col("whole") + F.col("plus"))
     return both.filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 

@@ -146,7 +146,7 @@ class Encoder:
         for w in self.split(text or ""):
             ids = words.get(w)
             if ids is None:
-                ids = self.transducer.encode(w.encode("utf-8", "replace"))
+                ids = self.transducer.encode(w.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace").encode() if not w.isascii() else w.encode())
                 if len(w) <= WORD_BYTES:
                     if len(words) >= MAX_WORDS:
                         words.clear()

@@ -91,6 +91,7 @@ def test_mixture(spark):
     assert max(r["copies"] for r in out if r["source"] == "big") <= 1 and max(r["copies"] for r in out) <= 4
     assert [tuple(r) for r in mixing.mix(sized.repartition(7), targets).orderBy("doc_id").collect()] == sorted(tuple(r) for r in out)
     s = {r["source"]: r for r in mixing.shares(mixing.mix(sized, targets, 1e9), sized, targets, 1e9).collect()}
+    assert s["gone"]["tokens"] == 0 and s["gone"]["corpus_tokens"] == 0 and set(s) == {"big", "small", "gone", None, "untargeted"}
     assert s["small"]["tokens"] == 2000 and s["big"]["most_copies"] == 1 and s["untargeted"]["tokens"] == 0 and abs(sum(r["actual_share"] for r in s.values()) - 1) < 1e-9
     assert mixing.mix(sized.limit(0), targets).count() == 0
 
