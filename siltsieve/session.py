@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows a dimension may have to be broadcast; above it dim_join salts a shuffle join instead.
 BROADCAST_ROWS = 50_000
+#: Characters of text such a dimension may have.
+BROADCAST_BYTES = 64 * 1024 * 1024
 #: Copies of each dimension row when a shuffle join is salted against hot keys.
 SALTS = 16
 
@@ -79,11 +81,14 @@ def strip(c: Column | str) -> Column:
 def dim_join(big: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", bound: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large table to a dimension on equal key names without trusting the key distribution.
 
-    A dimension of at most ``bound`` rows (counted, with an early stop) is broadcast. A larger one is
-    joined by shuffle with every key salted, so that a key holding a third of all rows is spread
-    over SALTS tasks.
+    A dimension of at most ``bound`` rows and BROADCAST_BYTES of text (counted, with an early stop) is broadcast. A
+    larger one is joined by shuffle with every key salted, so that a key holding a third of all rows is spread over
+    SALTS tasks, besides the splitting of skewed partitions by the adaptive execution.
     """
-    if dim.limit(bound + 1).count() <= bound:
+    texts = [f.name for f in dim.schema.fields if f.dataType.simpleString() not in ("bigint", "int", "double", "boolean", "date", "timestamp")]
+    size = sum((F.coalesce(F.length(F.to_json(F.struct(f"`{c}`"))), F.lit(0)) for c in texts), F.lit(0))
+    rows, chars = dim.limit(bound + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if rows <= bound and chars <= BROADCAST_BYTES:
         return big.join(F.broadcast(dim), keys, how)
     salted = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = big.withColumn("__salt", F.pmod(F.spark_partition_id() * 31 + F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))

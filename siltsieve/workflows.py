@@ -115,7 +115,10 @@ def write_artifacts(report: dict, folder: str, schema: list[dict] | None = None,
 
 
 def run_ingest(spark: SparkSession, paths: str, mappings: list[ingest.Mapping], output: str, stats_output: str = "", require_mappings: bool = False) -> dict:
-    """Every file by its first fitting mapping into one output; files without mapping are skipped or refused."""
+    """Every file by its first fitting mapping into one output; files without mapping are skipped or refused.
+
+    An output with an extension is one file, streamed through the driver; one without is a folder of part files.
+    """
     sources = discover(paths, spark=spark)
     now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     stats: dict[str, dict] = {s.path: {"path": s.path, "format": s.format, "rowsRead": 0, "rowsWritten": 0, "status": "success", "warnings": [], "errorMessage": ""} for s in sources}
@@ -129,7 +132,7 @@ def run_ingest(spark: SparkSession, paths: str, mappings: list[ingest.Mapping],
     parts = []
     for i, own in groups.items():  # one plan per mapping, not per file
         m = mappings[i]
-        rec = read_records(spark, own, json_mode="document", xml_path=m.xml_record_path, sheet=m.sheet).cache()
+        rec = cut(read_records(spark, own, json_mode="document", xml_path=m.xml_record_path, sheet=m.sheet))
         bad = {r["source_path"]: r["e"] for r in rec.filter("decode_error is not null").groupBy("source_path").agg(F.min("decode_error").alias("e")).collect()}
         for r in rec.groupBy("source_path").agg(F.count("*").alias("n")).collect():
             stats[r["source_path"]]["rowsRead"] = r["n"]
@@ -139,13 +142,17 @@ def run_ingest(spark: SparkSession, paths: str, mappings: list[ingest.Mapping],
         parts.append(ingest.unify_records(good, m, now))
     written = 0
     if parts:
-        every = functools.reduce(DataFrame.unionByName, parts).cache()
+        every = cut(functools.reduce(DataFrame.unionByName, parts))
         for r in every.groupBy("source_path").agg(F.count("*").alias("n")).collect():
             stats[r["source_path"]]["rowsWritten"] = r["n"]
         for r in ingest.unmatched_warnings(every).collect():
             stats[r["source_path"]]["warnings"].append(r["warning"])
-        written = W.write_unified(every.drop("source_path", "missing"), output)
-        every.unpersist()
+        rows = every.drop("source_path", "missing")
+        if os.path.splitext(output)[1]:
+            written = W.write_unified(rows, output)
+        else:  # a folder of part files, written by the executors
+            W.write_table(rows, output, "jsonl")
+            written = sum(s["rowsWritten"] for s in stats.values())
     files = sorted(stats.values(), key=lambda x: x["path"])
     summary = {"filesDiscovered": len(sources), "filesProcessed": sum(f["status"] != "skipped" for f in files), "rowsWritten": written, "outputPath": output, "files": files}
     if stats_output:

@@ -112,6 +112,8 @@ def test_ingest(spark, folder, tmp_path):
     assert not (tmp_path / "u.csv").exists()
     workflows.run_ingest(spark, str(folder), maps[:1], str(tmp_path / "u.csv"))
     assert len((tmp_path / "u.csv").read_text().splitlines()) == 4
+    wide = workflows.run_ingest(spark, str(folder), maps[:1], str(tmp_path / "u"))
+    assert wide["rowsWritten"] == sum(len(f.read_text().splitlines()) for f in (tmp_path / "u").glob("part-*.json")) == 3
     workflows.run_ingest(spark, str(folder), maps[:1], str(tmp_path / "u.json"))
     assert len(json.loads((tmp_path / "u.json").read_text())) == 3
 

@@ -186,7 +186,7 @@ def test_raw_offsets_names_and_types(spark):
     lines = [(1, 1, "note,points,joined,points"), (1, 2, "a\x00b,7,2020-01-02,8"), (1, 3, "a,7"), (1, 4, "a,7,2020-01-02,8,9"), (1, 5, 'a,"x"y,1,2'), (1, 6, "abc,x,2020-01-02,8"), (1, 7, "a,,2020-02-30,8"), (1, 8, "a,,,"), (2, 1, '{"points": 1} x'), (2, 2, '{"note":1, "points": "q"}'), (2, 3, '{"points": 99999999999999999999}')]
     out = raw(spark, lines, [(1, "csv"), (2, "jsonl")], None).orderBy("line_id").collect()
     bad = {(r["file_id"], r["line_number"]): (r["reason"], r["error_offset"], r["error_field"]) for r in out if r["kind"] == "bad"}
-    assert bad == {(1, 3): ("columns", 3, None), (1, 4): ("columns", 17, None), (1, 5): ("quoting", 5, None), (1, 6): ("value", 4, "points"), (1, 7): ("value", 3, "joined"), (2, 1): ("malformed", 14, None), (2, 2): ("value", 10, "points")}
+    assert bad == {(1, 3): ("columns", 3, None), (1, 4): ("columns", 17, None), (1, 5): ("quoting", 5, None), (1, 6): ("value", 4, "points"), (1, 7): ("value", 3, "joined"), (2, 1): ("malformed", 14, None), (2, 2): ("value", 11, "points")}
     assert dict(out[1]["fields"]) == {"note": "a\x00b", "points": "7", "joined": "2020-01-02", "points_2": "8"}
     t = rawload.typed_rows(raw(spark, lines, [(1, "csv"), (2, "jsonl")], None), {"note": "string", "points": "bigint", "joined": "date"}).orderBy("line_id").collect()
     assert (t[0]["points"], t[0]["joined"], dict(t[0]["further"])) == (7, dt.date(2020, 1, 2), {"points_2": "8"}) and t[1]["points"] is None and dict(t[2]["further"]) == {"points": "99999999999999999999"}
