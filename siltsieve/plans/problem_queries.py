@@ -133,4 +133,8 @@ ORACLES = {
     "p6_profiles": """SELECT row_id, person.id AS person_id, person.profile.first_name AS person_profile_first_name, person.profile.last_name AS person_profile_last_name, person.profile.email AS person_profile_email,
 person.contact.mobile AS person_contact_mobile, person.contact.postcode AS person_contact_postcode, person.preferences.channel AS person_preferences_channel, person.preferences.segment AS person_preferences_segment,
 person.loyalty.tier AS person_loyalty_tier, person.loyalty.points AS person_loyalty_points, metadata.source AS metadata_source, metadata.created_at AS metadata_created_at, metadata.updated_at AS metadata_updated_at, metadata.import_batch AS metadata_import_batch FROM profiles""",
+    "p6_documents": """SELECT record_no, 1 AS node_no, '' AS parent_relation, 0 AS parent_no, 0 AS same_parent_no, customer_id, NULL AS email, id, strftime(placed_at, '%Y-%m-%dT%H:%M:%S.%g') AS placed_at, NULL AS profile_first_name, state FROM order_docs
+UNION ALL SELECT record_no, 1, '', 0, 0, payload->>'$.customer_id', payload->>'$.email', payload->>'$.id', payload->>'$.placed_at', payload->>'$.profile.first_name', payload->>'$.state' FROM customer_docs""",
+    "p6_tags": """WITH t AS (SELECT record_no, unnest(list_filter(CAST(payload->'$.profile.tags' AS JSON[]), lambda x: x IS NOT NULL AND json_type(x) <> 'NULL')) AS x, generate_subscripts(list_filter(CAST(payload->'$.profile.tags' AS JSON[]), lambda x: x IS NOT NULL AND json_type(x) <> 'NULL'), 1) AS n
+FROM customer_docs WHERE json_type(payload, '$.profile.tags') = 'ARRAY') SELECT record_no, n::INTEGER AS node_no, '' AS parent_relation, 1 AS parent_no, 0 AS same_parent_no, x->>'$' AS value FROM t""",
 }

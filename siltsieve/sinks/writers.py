@@ -10,7 +10,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from typing import IO
 
 from pyspark.sql import DataFrame
@@ -61,6 +61,9 @@ def staged(path: str) -> Iterator[IO[str]]:
             shutil.copymode(path, tmp)
         else:
             os.chmod(tmp, 0o644)
+        # a checksum written beside the old contents would make the new ones unreadable
+        with suppress(FileNotFoundError):
+            os.unlink(os.path.join(os.path.dirname(os.path.abspath(path)), f".{os.path.basename(path)}.crc"))
         os.replace(tmp, path)
     except BaseException:
         if os.path.exists(tmp):
