@@ -73,8 +73,10 @@ def facts(said: DataFrame) -> DataFrame:
         F.struct(*[itself(f"row.{x}").alias(x) for x in ("filled", "ms", "trust")], itself("row").alias("top")).alias("merits"),
     )
     f = cut(f)
-    cover = f.select("gid", "field", F.explode("claiming").alias("s")).groupBy("gid", "field").agg(F.array_sort(F.collect_set("s")).alias("covering"))
-    hot = cut(f.groupBy("gid", "field").count().filter(F.col("count") > HOT_ROWS).select("gid", "field"))
+    cover = f.select("gid", "field", F.posexplode("claiming").alias("i", "s")).groupBy("gid", "field").agg(F.array_sort(F.collect_set("s")).alias("covering"), F.count_if(F.col("i") == 0).alias("n"))
+    cover = cut(cover)
+    hot = cover.filter(F.col("n") > HOT_ROWS).select("gid", "field")
+    cover = cover.drop("n")
     if hot.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return dim_join(f, cover, ["gid", "field"], "inner", bound=0)
     if hot.limit(1).count() == 0:
