@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltsieve.session import cut, dim_join
+from siltsieve.session import cut, dim_join, is_small
 
 #: Share of members with both values that must agree for a rename.
 RENAME_AGREEMENT = 0.75
@@ -106,6 +106,9 @@ class Drift:
         self._compare()
 
     def _compare(self) -> None:
+        # what is joined below has at most a row per field of a file: if those are few, no part of them is counted again
+        few = is_small(self.fields)
+        meet = lambda big, dim, keys, how: big.join(F.broadcast(dim), keys, how) if few else dim_join(big, dim, keys, how)
         # files of equal fingerprints have no change between them and are not compared
         pairs = self.files.filter("prev_id is not null and changed").select("file_id", "prev_id")
         cur = self.fields.join(pairs, "file_id").select("file_id", "prev_id", "path", F.col("json_type").alias("t1"))
@@ -116,23 +119,23 @@ class Drift:
         # only files that lost and gained a path need links between their members
         todo = cut(diff.groupBy("file_id", "prev_id").agg(F.max(F.col("change") == "added").alias("a"), F.max(F.col("change") == "removed").alias("r")).filter("a and r").select("file_id", "prev_id"))
         need = todo.select("file_id").unionByName(todo.select(F.col("prev_id").alias("file_id"))).distinct()
-        own = dim_join(self.cells.filter("value is not null"), cut(need), ["file_id"], "inner")
+        own = meet(self.cells.filter("value is not null"), cut(need), ["file_id"], "inner")
         # members of both files share values of key-like paths
         values = cut(own.filter("json_type <> 'array'").groupBy("file_id", "path", "cmp").agg(F.min("row_id").alias("row"), F.count("*").alias("n")))
         spread = values.groupBy("file_id", "path").agg(F.count("*").alias("values"), F.sum("n").alias("held")).join(self.files.select("file_id", "lines"), "file_id")
         keyish = cut(spread.filter((F.col("held") >= 0.3 * F.col("lines")) & (F.col("values") >= 0.5 * F.col("held"))).select("file_id", "path", (F.col("values") / F.col("held")).alias("w")))
-        keys = dim_join(values, keyish, ["file_id", "path"], "inner")
-        now = dim_join(keys, todo, ["file_id"], "inner").select("file_id", "prev_id", "cmp", F.col("row").alias("row1"), "w")
+        keys = meet(values, keyish, ["file_id", "path"], "inner")
+        now = meet(keys, todo, ["file_id"], "inner").select("file_id", "prev_id", "cmp", F.col("row").alias("row1"), "w")
         before = keys.select(F.col("file_id").alias("prev_id"), "cmp", F.col("row").alias("row0"))
         # the same member shares most key values, two members of one name share few: pairs are elected by votes
         votes = cut(now.join(before, ["prev_id", "cmp"]).groupBy("file_id", "prev_id", "row0", "row1").agg(F.sum("w").alias("v")))
         most = votes.groupBy("file_id").agg(F.max("v").alias("most"))
         elected = Window.partitionBy("file_id", "row1").orderBy(F.desc("v"), "row0")
-        links = dim_join(votes, most, ["file_id"], "inner").filter(F.col("v") * 2 >= F.col("most")).withColumn("r", F.row_number().over(elected)).filter("r = 1").select("file_id", "prev_id", "row0", "row1")
+        links = meet(votes, most, ["file_id"], "inner").filter(F.col("v") * 2 >= F.col("most")).withColumn("r", F.row_number().over(elected)).filter("r = 1").select("file_id", "prev_id", "row0", "row1")
         gone = diff.filter("change = 'removed'").select(F.col("prev_id").alias("file_id"), "path")
         new = diff.filter("change = 'added'").select("file_id", "path")
-        was = dim_join(own.select("file_id", "row_id", "path", "cmp"), gone, ["file_id", "path"], "inner").select(F.col("file_id").alias("prev_id"), F.col("row_id").alias("row0"), F.col("path").alias("p0"), F.col("cmp").alias("v0"))
-        now1 = dim_join(own.select("file_id", "row_id", "path", "cmp"), new, ["file_id", "path"], "inner").select("file_id", F.col("row_id").alias("row1"), F.col("path").alias("p1"), F.col("cmp").alias("v1"))
+        was = meet(own.select("file_id", "row_id", "path", "cmp"), gone, ["file_id", "path"], "inner").select(F.col("file_id").alias("prev_id"), F.col("row_id").alias("row0"), F.col("path").alias("p0"), F.col("cmp").alias("v0"))
+        now1 = meet(own.select("file_id", "row_id", "path", "cmp"), new, ["file_id", "path"], "inner").select("file_id", F.col("row_id").alias("row1"), F.col("path").alias("p1"), F.col("cmp").alias("v1"))
         votes = links.join(was, ["prev_id", "row0"]).join(now1, ["file_id", "row1"]).groupBy("file_id", "p0", "p1").agg(F.count("*").alias("n"), F.sum((F.col("v0") == F.col("v1")).cast("int")).alias("same"))
         votes = votes.filter((F.col("same") > 0) & (F.col("same") >= RENAME_AGREEMENT * F.col("n")))
         rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("same") / F.col("n")), F.desc("same"), "p0", "p1"))

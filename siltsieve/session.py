@@ -78,6 +78,14 @@ def strip(c: Column | str) -> Column:
     return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(" \t\n\x0b\f\r\u00a0"))
 
 
+def is_small(dim: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``bound`` rows and BROADCAST_BYTES of text; the count stops early."""
+    texts = [f.name for f in dim.schema.fields if f.dataType.simpleString() not in ("bigint", "int", "double", "boolean", "date", "timestamp")]
+    size = sum((F.coalesce(F.length(F.to_json(F.struct(f"`{c}`"))), F.lit(0)) for c in texts), F.lit(0))
+    rows, chars = dim.limit(bound + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= bound and chars <= BROADCAST_BYTES
+
+
 def dim_join(big: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", bound: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large table to a dimension on equal key names without trusting the key distribution.
 
@@ -85,10 +93,7 @@ def dim_join(big: DataFrame, dim: DataFrame, keys: list[str], how: str = "left",
     larger one is joined by shuffle with every key salted, so that a key holding a third of all rows is spread over
     SALTS tasks, besides the splitting of skewed partitions by the adaptive execution.
     """
-    texts = [f.name for f in dim.schema.fields if f.dataType.simpleString() not in ("bigint", "int", "double", "boolean", "date", "timestamp")]
-    size = sum((F.coalesce(F.length(F.to_json(F.struct(f"`{c}`"))), F.lit(0)) for c in texts), F.lit(0))
-    rows, chars = dim.limit(bound + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    if rows <= bound and chars <= BROADCAST_BYTES:
+    if is_small(dim, bound):
         return big.join(F.broadcast(dim), keys, how)
     salted = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = big.withColumn("__salt", F.pmod(F.spark_partition_id() * 31 + F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
