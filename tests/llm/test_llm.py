@@ -282,6 +282,12 @@ def test_copies_and_crowds(spark):
     assert got == {tuple(sorted((a, b))) for a in ids for b in ids if a[0] < b[0]} | {tuple(sorted((a, "one"))) for a in ids}
 
 
+def test_long_values(spark):
+    f, l, e, m, p = people(1)[0]
+    rows = [("club", "c", f, l, "x" * 100_000 + "@" + "y" * 100_000, m, p), ("event", "e", f, l, e, m, "9" * 100_000), ("event", "f", f * 20_000, l, "a@" + "b" * 255, "5" * 50_000, p), ("club", "g", None, l * 9_000, "a@" + "b" * 254, None, p)]
+    assert {("c", "e"), ("f", "g")} >= {tuple(sorted((r["id_a"], r["id_b"]))) for r in matching.match_records(spark.createDataFrame(rows, PEOPLE)).collect()} >= {("c", "e")}
+
+
 def test_names_share_outer_letters():
     rng = random.Random(6)
     for _ in range(3000):
