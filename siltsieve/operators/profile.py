@@ -23,7 +23,16 @@ def type_of(dtype: T.DataType) -> str:
     return next((n for k, n in _NAMES if isinstance(dtype, k)), "string")
 
 
-def _statistics(long: DataFrame, by: list[str], total: F.Column) -> DataFrame:
+def _same(by: list[str], prefix: str) -> F.Column:
+    return functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by])
+
+
+def _statistics(long: DataFrame, by: list[str], totals: DataFrame) -> DataFrame:
+    """Profiles of the cells ``long``; totals has the columns ``by`` and __total, the rows of each group.
+
+    Spark takes cells for smaller than the file they come from and would broadcast all of them. So totals are joined to the
+    finished profiles, never to the cells, and both joins are sorted ones, whatever sizes Spark expects.
+    """
     # one shuffle on (group, path, value) makes distinct counts exact and mergeable
     v = long.groupBy(*by, "path", "value", "json_type", "element_type").agg(F.count("*").alias("n"))
     lattice = lambda c: F.when(F.count_distinct(c) <= 1, F.min(c)).otherwise("mixed")
@@ -35,10 +44,14 @@ def _statistics(long: DataFrame, by: list[str], total: F.Column) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*by, "path").orderBy("value"))
     values = v.filter("value is not null").select(*by, "path", "value").distinct().withColumn("__r", rank).filter(F.col("__r") <= EXAMPLES)
     shown = values.groupBy(*by, "path").agg(F.array_sort(F.collect_list("value")).alias("examples")).select(*[F.col(c).alias(f"__{c}") for c in [*by, "path"]], "examples")
-    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, "path"]])
-    g = g.join(shown, same, "left").drop(*[f"__{c}" for c in [*by, "path"]])
+    g = g.join(shown.hint("merge"), _same([*by, "path"], "__"), "left").drop(*[f"__{c}" for c in [*by, "path"]])
+    if by:
+        t = totals.select(*[F.col(c).alias(f"__t_{c}") for c in by], "__total")
+        g = g.join(t.hint("merge"), _same(by, "__t_")).drop(*[f"__t_{c}" for c in by])
+    else:
+        g = g.join(F.broadcast(totals))  # one row
     out = g.withColumn("examples", F.coalesce("examples", F.array().cast("array<string>"))).withColumn("example", F.try_element_at("examples", F.lit(1)))
-    return out.withColumn("nullable", F.col("__nulls") > 0).drop("__nulls").withColumn("percentage", F.col("occurrences") * 100.0 / total)
+    return out.withColumn("nullable", F.col("__nulls") > 0).withColumn("percentage", F.col("occurrences") * 100.0 / F.col("__total")).drop("__nulls", "__total")
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -48,8 +61,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFram
     elements = {f.name: type_of(f.dataType.elementType) if isinstance(f.dataType, T.ArrayType) else None for f in df.schema.fields}
     each = F.array(*[F.struct(F.lit(c).alias("path"), F.col(c).cast("string").alias("value"), F.when(F.col(c).isNull(), "null").otherwise(kinds[c]).alias("json_type"), F.lit(elements[c]).alias("element_type")) for c in cols])
     long = df.select(F.explode(each).alias("x")).select("x.*")
-    total = df.agg(F.count("*").alias("__total"))
-    return _statistics(long.join(F.broadcast(total)), ["__total"], F.col("__total")).drop("__total")
+    return _statistics(long, [], df.agg(F.count("*").alias("__total")))
 
 
 def json_cells(df: DataFrame, text: str, keep: list[str] | None = None, max_depth: int = 10) -> DataFrame:
@@ -108,12 +120,7 @@ def profile_json(df: DataFrame, text: str, by: list[str] | None = None, max_dept
         own = F.struct(F.lit(0).cast("bigint").alias("__g"), *by)
         cells = cells.select(F.explode(F.array(own, whole)).alias("x"), "path", "value", "json_type", "element_type").select("x.*", "path", "value", "json_type", "element_type")
         by = ["__g", *by]
-    if not by:
-        d = cells.join(F.broadcast(total))
-    else:
-        t = total.select(*[F.col(c).alias(f"__t_{c}") for c in by], "__total")
-        d = cells.join(t, functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in by])).drop(*[f"__t_{c}" for c in by])
-    return _statistics(d, [*by, "__total"], F.col("__total")).drop("__total", "__g")
+    return _statistics(cells, by, total).drop("__g")
 
 
 def sample_rate(sampled: DataFrame, every: DataFrame) -> DataFrame:

@@ -94,6 +94,14 @@ def test_profile_levels(spark):
     assert [(r["folder"], r["percentage"]) for r in by] == [("f", 100.0)]
 
 
+def test_profile_cells_are_never_broadcast(spark, tmp_path):
+    df = spark.createDataFrame([("x", '{"a":1}'), ("x", '{"a":null}'), (None, '{"b":[{"c":2}]}')], "folder string, t string")
+    df.write.parquet(f"{tmp_path}/t")
+    p = profile.profile_json(spark.read.parquet(f"{tmp_path}/t"), "t", ["folder"], overall=True)
+    assert "Broadcast" not in p._jdf.queryExecution().sparkPlan().toString()
+    assert {(r["folder"], r["path"], r["occurrences"], r["percentage"]) for r in p.filter("path <> 'b[].c'").collect()} == {("x", "a", 2, 100.0), (None, "b", 1, 100.0), (None, "a", 2, 200 / 3), (None, "b", 1, 100 / 3)}
+
+
 def test_hashes_and_times(spark):
     df = spark.createDataFrame([("2020-01-02", None), (None, "2021-03-04 05:06:07"), ("x", None)], "created_at string, updated_at string")
     assert [None if r[0] is None else r[0].year for r in df.select(dedupe.row_time(df)).collect()] == [2020, 2021, None]
