@@ -329,6 +329,35 @@ def test_contact_keys_against_similarities(spark):
     assert got == want and len(want) > 300
 
 
+def test_most_pairs_of_dense_mobiles_end_before_python(spark):
+    rng = random.Random(17)
+    mobiles = [f"5{k:05d}77" for k in rng.sample(range(10**5), 1000)]
+    at, keys = matching.contact_keys("mobile", mobiles)
+    by = {}
+    for i, k in zip(at.tolist(), keys.tolist(), strict=True):
+        by.setdefault(k, set()).add(mobiles[i])
+    pairs = sorted({("mobile", a, b) for vs in by.values() for a in vs for b in vs if a < b})
+    kept = {tuple(r) for r in spark.createDataFrame(pairs, "kind string, a string, b string").filter(matching._may_be_close()).collect()}
+    close = {p for p in pairs if matching.mobile_similarity(*p[1:]) >= matching.CLOSE}
+    assert close <= kept and len(kept) < 1.2 * len(close) and len(close) < 0.5 * len(pairs)
+
+
+def test_edit_against_the_whole_table():
+    def whole(a, b):
+        d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = random.Random(23)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in "ab")
+        assert all(matching.edit(a, b, most) == min(whole(a, b), most + 1) for most in (1, 2, 3)), (a, b)
+
+
 def test_two_edits_are_found_by_bands(spark):
     rng, rows = random.Random(3), []
     for i, (f, l, e, m, p) in enumerate(people(200)):
